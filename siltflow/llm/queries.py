@@ -40,5 +40,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(spelled, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Query] = {"op6_sharding": op6_sharding, "op10_bpe": op10_bpe}
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltflow.llm import storage, token_files
+
+    path = storage.new_path(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), path, vocabulary_path())
+    rows = token_files.read(spark, path)
+    return rows.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES: dict[str, Query] = {"op4_token_files": op4_token_files, "op6_sharding": op6_sharding, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {}
