@@ -12,6 +12,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: Vocabulary file of op4 and op10.
 VOCABULARY = "word_bpe_49k.json"
 
+#: A document is kept from this quality score on.
+QUALITY_CUT = 0.3
+
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
@@ -49,5 +52,23 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Query] = {"op4_token_files": op4_token_files, "op6_sharding": op6_sharding, "op10_bpe": op10_bpe}
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltflow.llm import folds, quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (folds.remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltflow.llm import folds, language
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = folds.remainder("doc_id", 4) == 2
+    model = language.train(docs.where(~held_out))
+    return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES: dict[str, Query] = {"op4_token_files": op4_token_files, "op5_quality": op5_quality, "op7_language": op7_language, "op6_sharding": op6_sharding, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {}
