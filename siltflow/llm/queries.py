@@ -43,6 +43,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(spelled, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltflow.llm import folds, toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (folds.remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltflow.llm import storage, token_files
 
@@ -70,5 +79,5 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Query] = {"op4_token_files": op4_token_files, "op5_quality": op5_quality, "op7_language": op7_language, "op6_sharding": op6_sharding, "op10_bpe": op10_bpe}
+QUERIES: dict[str, Query] = {"op3_toxicity": op3_toxicity, "op4_token_files": op4_token_files, "op5_quality": op5_quality, "op7_language": op7_language, "op6_sharding": op6_sharding, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {}

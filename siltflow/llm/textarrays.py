@@ -70,30 +70,43 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, ends - ends[0]
 
 
-def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (runs of bytes other than 20 and 09 to 0D) of all texts, and the first word of each text, with the end."""
-    raw, starts = text_bytes(column)
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
-    if lower:
-        raw = _LOWER[raw]
-    inside = ~_SPACE[raw]
+def runs(raw: np.ndarray, starts: np.ndarray, outside: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of bytes that aren't `outside` begins and ends; none crosses the start of a text."""
+    inside = ~outside[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     heads = starts[:-1][starts[:-1] < len(raw)]
     first[heads] = inside[heads]
-    begin = np.flatnonzero(first)
     last = inside.copy()
     last[:-1] &= ~inside[1:]
     tails = heads[heads > 0] - 1
     last[tails] = inside[tails]
-    end = np.flatnonzero(last) + 1
-    up, down = _power_tables(len(raw) + 1)
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def rolling(raw: np.ndarray) -> np.ndarray:
+    up, _ = _power_tables(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE_CODE[raw] * up[: len(raw)], out=total[1:])
+    return total
+
+
+def span_hashes(total: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes from each begin to its end, given rolling(raw)."""
+    _, down = _power_tables(len(total))
     codes = (total[end] - total[begin]) * down[begin]
-    codes = _splitmix(codes + (end - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return codes, np.searchsorted(begin, starts)
+    return _splitmix(codes + (end - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (runs of bytes other than 20 and 09 to 0D) of all texts, and the first word of each text, with the end."""
+    raw, starts = text_bytes(column)
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
+    if lower:
+        raw = _LOWER[raw]
+    begin, end = runs(raw, starts)
+    return span_hashes(rolling(raw), begin, end), np.searchsorted(begin, starts)
 
 
 _PLACE = _splitmix((np.arange(64, dtype=np.uint64) + np.uint64(77)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
