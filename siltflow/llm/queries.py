@@ -43,6 +43,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(spelled, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+def op1_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltflow.llm import contamination
+
+    return contamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltflow.llm import rules
+
+    judged = rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltflow.llm import folds, toxicity
 
@@ -79,5 +92,16 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Query] = {"op3_toxicity": op3_toxicity, "op4_token_files": op4_token_files, "op5_quality": op5_quality, "op7_language": op7_language, "op6_sharding": op6_sharding, "op10_bpe": op10_bpe}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {"op1_contamination": op1_contamination, "op9_rules": op9_rules, "op3_toxicity": op3_toxicity, "op4_token_files": op4_token_files, "op5_quality": op5_quality, "op7_language": op7_language, "op6_sharding": op6_sharding, "op10_bpe": op10_bpe}
+ORACLES: dict[str, str] = {
+    "op1_contamination": """
+        WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') ws FROM documents),
+        i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') ws FROM benchmark),
+        isz AS (SELECT item_id, ws, least(5, len(ws)) k FROM i WHERE len(ws) > 0),
+        ish AS (SELECT DISTINCT item_id, k, array_to_string(ws[j:j + k - 1], ' ') s FROM (SELECT item_id, ws, k, unnest(range(1, len(ws) - k + 2)) j FROM isz)),
+        ks AS (SELECT DISTINCT k FROM isz),
+        dsh AS (SELECT DISTINCT doc_id, k, array_to_string(ws[j:j + k - 1], ' ') s FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) j FROM w, ks WHERE len(ws) >= k)),
+        n AS (SELECT item_id, count(*) n FROM ish GROUP BY item_id)
+        SELECT doc_id, item_id, n AS n_item, count(*) AS n_shared, count(*) / n AS containment
+        FROM dsh JOIN ish USING (k, s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING 5 * count(*) >= 4 * n""",
+}
