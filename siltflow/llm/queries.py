@@ -49,6 +49,12 @@ def op1_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltflow.llm import jaccard
+
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltflow.llm import rules
 
@@ -92,7 +98,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Query] = {"op1_contamination": op1_contamination, "op9_rules": op9_rules, "op3_toxicity": op3_toxicity, "op4_token_files": op4_token_files, "op5_quality": op5_quality, "op7_language": op7_language, "op6_sharding": op6_sharding, "op10_bpe": op10_bpe}
+QUERIES: dict[str, Query] = {"op1_contamination": op1_contamination, "op2_jaccard": op2_jaccard, "op9_rules": op9_rules, "op3_toxicity": op3_toxicity, "op4_token_files": op4_token_files, "op5_quality": op5_quality, "op7_language": op7_language, "op6_sharding": op6_sharding, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {
     "op1_contamination": """
         WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') ws FROM documents),
@@ -104,4 +110,15 @@ ORACLES: dict[str, str] = {
         n AS (SELECT item_id, count(*) n FROM ish GROUP BY item_id)
         SELECT doc_id, item_id, n AS n_item, count(*) AS n_shared, count(*) / n AS containment
         FROM dsh JOIN ish USING (k, s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING 5 * count(*) >= 4 * n""",
+    "op2_jaccard": """
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') ws FROM documents),
+        sh AS (SELECT DISTINCT doc_id, array_to_string(ws[j:j + 4], ' ') s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) j FROM w WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) n FROM sh GROUP BY doc_id),
+        o AS (SELECT x.doc_id a, y.doc_id b, count(*) c FROM sh x JOIN sh y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+        l AS MATERIALIZED (SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+        r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        m AS (SELECT a, min(b) c FROM r GROUP BY a),
+        d AS (SELECT a, count(*) k FROM l GROUP BY a)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.c, w.doc_id)) AS component_id, coalesce(d.k, 0) AS n_links
+        FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.a = w.doc_id LEFT JOIN d ON d.a = w.doc_id""",
 }
