@@ -55,6 +55,12 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op8_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltflow.llm import backoff_lm
+
+    return backoff_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltflow.llm import rules
 
@@ -98,7 +104,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Query] = {"op1_contamination": op1_contamination, "op2_jaccard": op2_jaccard, "op9_rules": op9_rules, "op3_toxicity": op3_toxicity, "op4_token_files": op4_token_files, "op5_quality": op5_quality, "op7_language": op7_language, "op6_sharding": op6_sharding, "op10_bpe": op10_bpe}
+QUERIES: dict[str, Query] = {"op1_contamination": op1_contamination, "op2_jaccard": op2_jaccard, "op8_backoff_lm": op8_backoff_lm, "op9_rules": op9_rules, "op3_toxicity": op3_toxicity, "op4_token_files": op4_token_files, "op5_quality": op5_quality, "op7_language": op7_language, "op6_sharding": op6_sharding, "op10_bpe": op10_bpe}
 ORACLES: dict[str, str] = {
     "op1_contamination": """
         WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') ws FROM documents),
