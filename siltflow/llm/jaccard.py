@@ -39,6 +39,8 @@ BLOCK = 256
 COLUMNS = 16384
 HELD = 4 << 20
 BROADCAST_ROWS = 1_000_000
+#: Parts of the sets of one size in a component while they are numbered.
+SALTS = 16
 _SHARED = np.uint64(0xFFFFFFFF)
 
 
@@ -146,12 +148,25 @@ def shared_counts(docs: DataFrame, width: int) -> DataFrame:
             values, n = np.unique(owner[often & (owner != _SHARED)], return_counts=True)
             owners.append(values)
             counts.append(n)
+        values, total = summed(owners, counts)
+        # counts go on packed, a row for each part of the owners
+        part = (values % np.uint64(buckets)).astype(np.int64)
+        rows = [(k, np.stack((values[part == k], total[part == k].astype(np.uint64))).tobytes()) for k in np.unique(part).tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary())], ["part", "counts"])
+
+    def summed(owners: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         values, place = np.unique(np.concatenate(owners), return_inverse=True)
-        total = np.bincount(place, np.concatenate(counts), len(values)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(total)], ["owner", "n_shared"])
+        return values, np.bincount(place, np.concatenate(counts), len(values)).astype(np.int64)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.frombuffer(raw.as_buffer(), np.uint64).reshape(2, -1) for batch in batches for raw in batch.column(1)]
+        if held:
+            values, total = summed([x[0] for x in held], [x[1].astype(np.int64) for x in held])
+            yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(total)], ["owner", "n_shared"])
 
     dealt = docs.select("text").mapInArrow(deal, "bucket int, entries binary").repartition(buckets, "bucket")
-    return dealt.mapInArrow(count, "owner long, n_shared long").groupBy("owner").agg(F.sum("n_shared").alias("n_shared"))
+    parts = dealt.mapInArrow(count, "part int, counts binary").repartition(buckets, "part")
+    return parts.mapInArrow(add, "owner long, n_shared long")
 
 
 def _product(left: list[np.ndarray], right: list[np.ndarray], n_left: np.ndarray, n_right: np.ndarray, percent: int) -> np.ndarray:
@@ -269,7 +284,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     # step 3
     members = together.union(together.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("doc"), F.col("root").alias("comp"))
     sized = members.join(sets.select("doc", "n"), "doc")
-    placed = storage.materialize(sized.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("comp").orderBy("n", "doc")) - 1) / BLOCK)), "blocks")
+    # places by size within a component, counted in parts of one size and a hash so that no task sorts a whole component
+    sized = storage.materialize(sized.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS))), "sized")
+    before = Window.partitionBy("comp").orderBy("n", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sized.groupBy("comp", "n", "salt").count().select("comp", "n", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("comp", "n", "salt").orderBy("doc")) - 1
+    placed = storage.materialize(sized.withColumn("rank", rank).join(starts, ["comp", "n", "salt"]).select("doc", "comp", "n", F.floor((F.col("start") + F.col("rank")) / BLOCK).alias("block")), "blocks")
     blocks = placed.groupBy("comp", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     pairs = blocks.select("comp", F.col("block").alias("i"), "hi").join(blocks.select("comp", F.col("block").alias("j"), "lo"), "comp").where(f"i <= j AND 100 * hi >= {percent} * lo").select("comp", "i", "j")
     held = placed.select("doc", "comp", "block").join(sets, "doc")
