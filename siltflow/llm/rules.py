@@ -25,7 +25,7 @@ WINDOW = 5
 # What a rule divides by words, and from where on it is bad or good.
 #   name: (numerator, good from or to, bad from or to); the order of the two says which way
 RULES = {
-    "length": ("n_words", 50, 10),
+    "length": ("n_words", 50, 9),
     "symbols": ("n_symbols", 0.02, 0.1),
     "capitals": ("n_capitals", 0.05, 0.3),
     "exclamations": ("n_exclamations", 0.05, 0.3),
@@ -138,8 +138,8 @@ def fit(voted: DataFrame, names: list[str], rounds: int = 12) -> LabelModel:
         total = sum(got[f"q{k}"] or 0.0 for k in range(len(q)))
         if not total:
             return model
-        # one vote each way is added, so that no rule is beyond doubt
-        rates = [{x: {v: (got[f"{k}{v}{x}"] + 1.0) / (got[f"{k}-1{x}"] + got[f"{k}1{x}"] + 2.0) for v in (-1, 1)} for x in names} for k in range(len(q))]
+        # a tenth of a vote each way is added, so that no rule is beyond doubt
+        rates = [{x: {v: (got[f"{k}{v}{x}"] + 0.1) / (got[f"{k}-1{x}"] + got[f"{k}1{x}"] + 0.2) for v in (-1, 1)} for x in names} for k in range(len(q))]
         new = LabelModel([(got[f"q{k}"] + 1) / (total + len(q)) for k in range(len(q))], rates)
         done = turn and max(abs(x - y) for x, y in zip(new.shares, model.shares, strict=True)) < 1e-4
         model, q = new, new.classes()
