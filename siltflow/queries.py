@@ -66,7 +66,7 @@ _ROUTES = {"urgent": "v.o_orderpriority == '1-URGENT' && v.o_totalprice > 1000",
 _ROUTES_SQL = "CASE WHEN o_orderpriority = '1-URGENT' AND o_totalprice > 1000 THEN 'urgent' WHEN o_orderstatus = 'O' THEN 'open' WHEN o_totalprice > 100000 THEN 'large' END"
 
 
-@query(f"SELECT {_ROUTES_SQL} AS channel, count(*) AS n, sum(o_orderkey) AS keys FROM orders WHERE {_ROUTES_SQL} IS NOT NULL GROUP BY 1")
+@query(f"SELECT {_ROUTES_SQL} AS channel, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders WHERE {_ROUTES_SQL} IS NOT NULL GROUP BY 1")
 def route_orders(spark, sf):
     marked = B.with_channel(_t(spark, sf, "orders"), _ROUTES).where("_channel IS NOT NULL")
     return marked.groupBy(F.col("_channel").alias("channel")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
@@ -139,7 +139,7 @@ def group_by_user(spark, sf):
     return B.group_by_unique(_t(spark, sf, "events"), "user_id", "event_type", "v.value", ["click", "purchase"])
 
 
-@query("WITH n AS (SELECT o_custkey, o_orderstatus, max(o_orderkey) k FROM orders GROUP BY 1, 2) SELECT o_custkey::VARCHAR AS _group_key, count(*) AS n_labels, sum(k) AS keys FROM n GROUP BY 1")
+@query("WITH n AS (SELECT o_custkey, o_orderstatus, max(o_orderkey) k FROM orders GROUP BY 1, 2) SELECT o_custkey::VARCHAR AS _group_key, count(*) AS n_labels, sum(k)::BIGINT AS keys FROM n GROUP BY 1")
 def group_by_partial(spark, sf):
     out = B.group_by(_t(spark, sf, "orders"), "o_custkey", "o_orderstatus", "o_orderkey", emit_partial=True, order=["o_orderkey"])
     return out.select("_group_key", F.size("labels").cast("long").alias("n_labels"), F.aggregate(F.map_values("labels"), F.lit(0).cast("long"), lambda a, x: a + x).alias("keys"))
@@ -225,12 +225,12 @@ def compute_events(spark, sf):
     return normalize(df, [{"op": "compute", "expression": "v.value > 50 && v.event_type == 'view'", "target": "v.hit", "on_error": "drop"}, {"op": "add_field", "field": "version", "value": "v1"}, {"op": "drop_fields", "fields": ["value", "event_type"]}]).data
 
 
-@query("SELECT o_custkey, sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS o, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS f FROM orders GROUP BY 1")
+@query("SELECT o_custkey, round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 2) AS o, round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 2) AS f FROM orders GROUP BY 1")
 def to_object_orders(spark, sf):
-    # whole cents, so that sums don't depend on their order beyond the comparison's rounding
+    # sums of doubles depend on their order: whole cents are compared
     df = _t(spark, sf, "orders").orderBy("o_orderkey").groupBy("o_custkey").agg(F.collect_list("o_orderstatus").alias("k"), F.collect_list("o_totalprice").alias("x"))
     made = normalize(df, [{"op": "to_object", "keys": "v.k", "values": "v.x", "target": "v.m", "on_duplicate": "sum"}]).data
-    return made.select("o_custkey", F.try_element_at("m", F.lit("O")).alias("o"), F.try_element_at("m", F.lit("F")).alias("f"))
+    return made.select("o_custkey", F.round(F.try_element_at("m", F.lit("O")), 2).alias("o"), F.round(F.try_element_at("m", F.lit("F")), 2).alias("f"))
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'P' WHEN value > 50 THEN 'big' END AS mark FROM events")
@@ -261,12 +261,12 @@ def read_skip_limit(spark, sf):
     return ranked.where("_n BETWEEN 3 AND 7").select("user_id", "event_id")
 
 
-@query("SELECT user_id, sum(event_id) AS number, coalesce(avg(value), 0.0) AS average, min(value) AS low, max(value) AS high, count(value) AS n, count(DISTINCT event_type) AS kinds, bool_or(event_type = 'view') AS view, bool_or(event_type = 'purchase') AS purchase, arg_max(event_id % 2 = 0, event_id) AS flag, count(*) % 2 = 1 AS toggled FROM events GROUP BY 1")
+@query("SELECT user_id, sum(event_id)::BIGINT AS number, round(coalesce(avg(value), 0.0), 6) AS average, min(value) AS low, max(value) AS high, count(value) AS n, count(DISTINCT event_type) AS kinds, bool_or(event_type = 'view') AS view, bool_or(event_type = 'purchase') AS purchase, arg_max(event_id % 2 = 0, event_id) AS flag, count(*) % 2 = 1 AS toggled FROM events GROUP BY 1")
 def accumulators(spark, sf):
     c = F.col
     mask = A.BitMask(["view", "purchase"])
     state = _t(spark, sf, "events").groupBy("user_id").agg(A.number(c("event_id")).alias("number"), A.average(c("value")).alias("average"), A.min_max(c("value")).alias("m"), F.size(A.set_of(c("event_type"))).cast("long").alias("kinds"), *mask.bits(c("event_type")), A.boolean(c("event_id") % 2 == 0, c("event_id")).alias("flag"), A.toggled(F.lit(1)).alias("toggled"))
-    return A.trigger(state, c("number") >= 0).select("user_id", "number", "average", c("m.min").alias("low"), c("m.max").alias("high"), c("m.count").alias("n"), "kinds", "view", "purchase", "flag", "toggled")
+    return A.trigger(state, c("number") >= 0).select("user_id", "number", F.round("average", 6).alias("average"), c("m.min").alias("low"), c("m.max").alias("high"), c("m.count").alias("n"), "kinds", "view", "purchase", "flag", "toggled")
 
 
 @query("SELECT event_id, coalesce(lag(event_id, 2) OVER w, lag(event_id, 1) OVER w, event_id) AS oldest FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
@@ -287,14 +287,14 @@ def session_journal(spark, sf):
     return S.journal(["1-URGENT"], trace, trace.where("o_orderstatus = 'F'"))
 
 
-@query("SELECT 'missing' AS side, n_name AS name, 1 AS n FROM nation WHERE n_nationkey >= 20")
+@query("SELECT 'missing' AS side, n_name AS name, 1::BIGINT AS n FROM nation WHERE n_nationkey >= 20")
 def snapshot_compare(spark, sf):
     nation = _t(spark, sf, "nation").select("n_name")
     found = S.compare(nation, _t(spark, sf, "nation").where("n_nationkey < 20").select("n_name"))
     return found.select("side", F.get_json_object("record", "$.n_name").alias("name"), "n")
 
 
-@query("SELECT o_orderstatus, count(*) AS n, sum(o_orderkey) AS keys FROM (SELECT * FROM orders WHERE o_totalprice > 1000 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1) WHERE o_orderstatus IN ('O', 'F') GROUP BY 1")
+@query("SELECT o_orderstatus, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM (SELECT * FROM orders WHERE o_totalprice > 1000 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1) WHERE o_orderstatus IN ('O', 'F') GROUP BY 1")
 def variant_dag(spark, sf):
     """A whole variant: filter, dedup, route and fan-in, compiled by the runner."""
     from siltflow.plans.runner import Runner
