@@ -1,9 +1,9 @@
 """Language-model scores with stupid backoff.
 
 Words are lower-cased runs (bytes other than 20 and 09 to 0D).  With c the counts of n-grams
-over all documents, f(u) how often u is followed by a word, and N the number of words,
+over all documents and N the number of words,
 
-    S(w | u) = c(u w) / f(u)                        where c(u w) >= min_count,
+    S(w | u) = c(u w) / c(u)                        where c(u w) >= min_count,
     S(w | u) = 0.4 * S(w | u without its first word)  else,  and  S(w) = c(w) / N,
 
 and a document's score is the mean of ln S over its words; the first words of a document have
@@ -58,27 +58,15 @@ def _grams(texts: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     return out, first
 
 
-def _keys(grams: list[np.ndarray], contexts: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct (bucket, 48 bits), their buckets and counts, and the place of each entry of grams, one after the other, and then of contexts."""
-    both = np.concatenate(grams + contexts)
+def _keys(grams: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct (bucket, 48 bits), their buckets and counts, and the place of each entry of grams, one after the other."""
+    both = np.concatenate(grams)
     bucket = (both >> np.uint64(48)) % np.uint64(buckets)
     key = (bucket << np.uint64(48)) | (both & np.uint64((1 << 48) - 1))
     values, place, counts = np.unique(key, return_inverse=True, return_counts=True)
     return values, (values >> np.uint64(48)).astype(np.int32), counts, place
 
 
-def _parts(texts: pa.Array, order: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """The n-grams of each order at each word, and as contexts (marked) those before each word, without the zeros' meaning changed."""
-    grams, first = _grams(texts, order)
-    contexts = []
-    for n in range(1, order):
-        before = np.zeros_like(grams[0])
-        before[1:] = grams[n - 1][:-1]
-        before[grams[n] == 0] = 0  # no room for n words before this one
-        contexts.append(np.where(before == 0, before, _splitmix(before + np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)))
-    return grams, contexts, first
-
-
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = 2, min_count: int = 2) -> DataFrame:
     """doc_id, n_words, n_backoff (words whose longest context failed) and score of each document."""
     spark = docs.sparkSession
@@ -89,8 +77,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
     dealt = rows.withColumn("chunk", chunk).repartition(buckets, "chunk")
 
     def requests(held: pa.Table) -> pa.Table:
-        grams, contexts, _ = _parts(held["text"].combine_chunks(), order)
-        values, bucket, counts, _ = _keys(grams, contexts, buckets)
+        grams, _ = _grams(held["text"].combine_chunks(), order)
+        values, bucket, counts, _ = _keys(grams, buckets)
         number = held["chunk"][0].as_py() if held.num_rows else 0
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
         low = np.minimum(counts, 0xFFFF).astype(np.uint64)
@@ -129,13 +117,14 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
 
     def joined(held: pa.Table, got: pa.Table) -> pa.Table:
         texts = held["text"].combine_chunks() if held.num_rows else pa.array([], pa.string())
-        grams, contexts, first = _parts(texts, order)
-        _, _, _, place = _keys(grams, contexts, buckets)
+        grams, first = _grams(texts, order)
+        _, _, _, place = _keys(grams, buckets)
         by = sorted(zip(got["bucket"].to_pylist(), got["counts"].to_pylist(), strict=True))
         counts = np.frombuffer(b"".join(x[1] for x in by), "<u8").astype(np.float64)
         n = len(grams[0])
         found = [np.where(g == 0, 0, counts[place[k * n : (k + 1) * n]]) for k, g in enumerate(grams)]
-        before = [counts[place[(order + k) * n : (order + k + 1) * n]] for k in range(order - 1)]
+        # the context of a word's n-gram is the n-gram of one word less that ends before it
+        before = [np.concatenate(([0.0], x[:-1])) if n else x for x in found]
         with np.errstate(divide="ignore", invalid="ignore"):
             value = np.log(found[0])
             unigram = np.ones(n, bool)
