@@ -127,4 +127,14 @@ ORACLES: dict[str, str] = {
         d AS (SELECT a, count(*) k FROM l GROUP BY a)
         SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.c, w.doc_id)) AS component_id, coalesce(d.k, 0) AS n_links
         FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.a = w.doc_id LEFT JOIN d ON d.a = w.doc_id""",
+    # crc32 by its table, which is made by its rule; with equal weights the largest draw is the largest unit
+    "op6_sharding": """
+        WITH RECURSIVE t(i, k, c) AS (SELECT range::BIGINT, 0, range::BIGINT FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM t WHERE k < 8),
+        tab AS MATERIALIZED (SELECT list(c ORDER BY i) l FROM t WHERE k = 8),
+        b AS (SELECT doc_id, coalesce(text, '') x, list_transform(range(0, 17), lambda j: ('0x' || substr(md5(doc_id::VARCHAR || ':' || j::VARCHAR), 1, 13))::BIGINT) u FROM documents),
+        d AS (SELECT doc_id, octet_length(encode(x)) + 1 AS size, list_position(u[1:16], list_max(u[1:16])) - 1 AS shard, list_position(u, list_max(u)) - 1 AS grown_shard,
+            xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda p, q: xor(p >> 8, l[(xor(p, q) & 255) + 1])), 4294967295::BIGINT) AS text_crc32 FROM b, tab)
+        SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
+            row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(doc_id::VARCHAR), 1, 4))::BIGINT % 1024, doc_id) - 1 AS slot, grown_shard::INTEGER AS grown_shard
+        FROM d""",
 }
