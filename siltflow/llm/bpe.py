@@ -25,15 +25,37 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words that a worker remembers; when more have been seen, it starts anew.
-TABLE_WORDS = 400_000
+#: Words that a worker remembers at most.
+TABLE_WORDS = 200_000
 #: Bytes of text encoded, and ids decoded, at once.
-SLICE_BYTES = 16 << 20
-SLICE_IDS = 4 << 20
+SLICE_BYTES = 8 << 20
+SLICE_IDS = 2 << 20
 
 _workers: dict[str, WordEncoder] = {}
 
 
+class Memo:
+    """A table of at most `size` entries in two generations: when the young one is full it becomes the old one, whose entries come back as they are used."""
+
+    def __init__(self, size: int):
+        self.half = max(1, size // 2)
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def get(self, key: str) -> tuple[int, ...] | None:
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key: str, value: tuple[int, ...]) -> None:
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class WordEncoder:
     """Ids of single words under a `tokenizers` file, and a bounded table of those seen."""
 
@@ -56,14 +78,17 @@ class WordEncoder:
         self.pieces_of = regex.compile(split["pattern"]["Regex"]).findall if self.short else None
         self.low = regex.compile("[\x00-˿]*+").fullmatch
         self.byte_chars = _byte_chars()
-        self.parts: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {"": ()}
+        self.parts, self.words = Memo(TABLE_WORDS), Memo(TABLE_WORDS)
+        #: one object for each id, shared by all entries
+        self.ids = list(range(self.whole.get_vocab_size(with_added_tokens=True) + 1))
 
     def _part(self, part: str) -> tuple[int, ...]:
         ids = self.parts.get(part)
         if ids is None:
             text = part if part.isascii() and part.isprintable() and " " not in part else part.encode().decode("latin-1").translate(self.byte_chars)
-            ids = self.parts[part] = tuple(x.id for x in self.model.tokenize(text))
+            shared = self.ids
+            ids = tuple(shared[x.id] for x in self.model.tokenize(text))
+            self.parts.put(part, ids)
         return ids
 
     def _encode(self, word: str) -> tuple[int, ...]:
@@ -76,15 +101,14 @@ class WordEncoder:
 
     def table(self, words: list[str]) -> list[tuple[int, ...]]:
         """The ids of each of the distinct words."""
-        if len(self.words) > TABLE_WORDS:
-            self.words = {"": ()}
-        if len(self.parts) > TABLE_WORDS:
-            self.parts = {}
-        known = self.words
+        out, get = [], self.words.get
         for word in words:
-            if word not in known:
-                known[word] = self._encode(word)
-        return [known[x] for x in words]
+            ids = get(word)
+            if ids is None:
+                ids = self._encode(word) if word else ()
+                self.words.put(word, ids)
+            out.append(ids)
+        return out
 
 
 def _byte_chars() -> dict[int, str]:
@@ -122,6 +146,9 @@ def encode_column(texts: pa.Array, path: str) -> Iterator[tuple[np.ndarray, np.n
         source = np.repeat(begins[at] - upto[:-1], lengths)
         source += np.arange(int(upto[-1]))
         yield values[source], upto[ends - ends[0]]
+        del lists, flat, ids, values, at, lengths, upto, source
+        # an idle worker keeps what its pool holds, beside the JVM's heap
+        pa.default_memory_pool().release_unused()
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
