@@ -126,7 +126,7 @@ def encoder(path: str) -> WordEncoder:
 
 def encode_column(texts: pa.Array, path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For slices of the texts in turn: all ids, and where each text's ids begin, with the end."""
-    from siltflow.llm.textarrays import text_slices
+    from siltflow.llm.textarrays import release, text_slices
 
     coder = encoder(path)
     if texts.null_count:
@@ -147,8 +147,7 @@ def encode_column(texts: pa.Array, path: str) -> Iterator[tuple[np.ndarray, np.n
         source += np.arange(int(upto[-1]))
         yield values[source], upto[ends - ends[0]]
         del lists, flat, ids, values, at, lengths, upto, source
-        # an idle worker keeps what its pool holds, beside the JVM's heap
-        pa.default_memory_pool().release_unused()
+        release()
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:

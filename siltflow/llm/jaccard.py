@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from siltflow.llm import storage
 from siltflow.llm.components import components
-from siltflow.llm.textarrays import _splitmix, shingle_hashes, text_slices, word_hashes
+from siltflow.llm.textarrays import _splitmix, release, shingle_hashes, text_slices, word_hashes
 
 #: Sets of a block, columns of a slice, and shingles that a task holds before it passes them on.
 BLOCK = 256
@@ -73,6 +73,7 @@ def set_rows(docs: DataFrame, width: int, grams: bool) -> DataFrame:
                     raw.append(own.tobytes())
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(raw, pa.binary())] * grams, ["doc_id", "n", "one", "two"] + ["grams"] * grams)
+            release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, one long, two long" + ", grams binary" * grams)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltflow.llm.textarrays import shingle_hashes, text_bytes, text_slices, word_hashes
+from siltflow.llm.textarrays import release, shingle_hashes, text_bytes, text_slices, word_hashes
 
 FEATURES = ("log_bytes", "upper", "symbol", "digit", "space", "other_bytes", "word_bytes", "distinct_words", "distinct_pairs", "top_word", "line_words", "stops", "bars", "repeat_next", "marks")
 
@@ -97,6 +97,7 @@ def expand(rows: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarra
 def feature_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(texts: pa.Array) -> pa.Array:
         found = features(texts).astype(np.float32)
+        release()
         return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]), pa.array(found.ravel()))
 
     return docs.withColumn("features", F.arrow_udf(run, "array<float>")(F.col(text)))
@@ -205,6 +206,8 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", out: str = "
     """Add the probability that a text is of good quality."""
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array(model.score(features(texts)))
+        out = pa.array(model.score(features(texts)))
+        release()
+        return out
 
     return docs.withColumn(out, F.arrow_udf(run, "double")(F.col(text)))

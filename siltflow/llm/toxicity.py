@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltflow.llm.textarrays import _SPACE, rolling, runs, span_hashes, text_bytes, text_slices
+from siltflow.llm.textarrays import _SPACE, release, rolling, runs, span_hashes, text_bytes, text_slices
 
 # Words that insult.
 SEED_WORDS = "idiot moron stupid dumb loser scum trash worthless pathetic disgusting clown fool jerk imbecile garbage vermin filth".split()
@@ -247,6 +247,8 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str =
     """Add the probability that a text is toxic."""
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array(model.score(texts))
+        out = pa.array(model.score(texts))
+        release()
+        return out
 
     return docs.withColumn(out, F.arrow_udf(run, "double")(F.col(text)))
