@@ -144,3 +144,6 @@ def test_folds_and_storage(spark, docs):
         assert r.m == zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 5
     held = storage.materialize(docs, "t")
     assert held.count() == docs.count() and storage.shared_dir(spark) == storage.shared_dir(spark)
+    storage.sweep(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
+        spark.read.schema(docs.schema).parquet(*held.inputFiles()).count()
