@@ -77,7 +77,7 @@ def token_at(place: int, chunks: list[bytes], bitmaps: list[bytes], ranks: list[
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows part, doc_id, ids (little-endian bytes), sorted, to rows of SEGMENTS."""
+    """Rows part, doc_id, ids (little-endian, of 2 bytes, or 4 if wide), wide, sorted, to rows of SEGMENTS."""
     part, segment, start = None, 0, 0
     docs: list[int | None] = []
     lots: list[np.ndarray] = []
@@ -95,8 +95,8 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pydict(row, _schema())
 
     for batch in batches:
-        for p, doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            ids = np.frombuffer(raw.as_buffer(), "<u4")
+        for p, doc, raw, wide in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+            ids = np.frombuffer(raw.as_buffer(), "<u4" if wide else "<u2").astype(np.uint32)
             if docs and (p != part or held + len(ids) > SEGMENT_TOKENS):
                 yield flush()
             if p != part:
@@ -132,13 +132,15 @@ def write(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: s
                 n = len(ends) - 1
                 own = batch.column(0).slice(row, n)
                 row += n
-                full = np.insert(ids.astype("<u4"), ends[1:], end_id).tobytes()
-                offsets = (ends + np.arange(n + 1)) * 4
+                full = np.insert(ids.astype("<u4"), ends[1:], end_id)
+                wide = bool(len(full) and full.max() > 0xFFFF)
+                offsets = (ends + np.arange(n + 1)) * (4 if wide else 2)
+                full = full.astype("<u4" if wide else "<u2").tobytes()
                 raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(full)])
                 place = np.searchsorted(bounds, own.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="left")
-                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), own, raw], ["part", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), own, raw, pa.array([wide] * n)], ["part", "doc_id", "ids", "wide"])
 
-    rows = docs.mapInArrow(coded, "part int, doc_id long, ids binary")
+    rows = docs.mapInArrow(coded, "part int, doc_id long, ids binary, wide boolean")
     ordered = rows.repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
     ordered.mapInArrow(_segments, SEGMENTS).write.option("compression", "none").parquet(f"{path}/segments")
     sums = spark.read.schema(SEGMENTS).parquet(f"{path}/segments").groupBy("part").agg(F.sum("n_tokens").alias("n"))
