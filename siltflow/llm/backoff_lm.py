@@ -11,7 +11,8 @@ shorter contexts, without penalty.
 
 Documents are dealt to chunks by a hash of their id.  A chunk asks for each distinct n-gram
 once, with its own count; requests are dealt by the n-gram's hash, so that each part of the
-count tables is one bucket, and a very common n-gram is one request a chunk.  A bucket sums
+count tables is one bucket, and a very common n-gram is one request a chunk.  Requests are
+ascending and travel as differences, counts as planes of bytes.  A bucket sums
 and answers in the order of the requests; the chunk joins the answers to its exploded
 n-grams and sums by document.  N-grams are told apart by their bucket and 48 bits of hash.
 
@@ -21,6 +22,7 @@ are counted and scored each; null ids are scored; other columns don't matter.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,6 +69,30 @@ def _keys(grams: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray
     return values, (values >> np.uint64(48)).astype(np.int32), counts, place
 
 
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The lowest `width` bytes of each number: all lowest bytes, then all second ones, and so on."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _from_planes(raw: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = raw.reshape(width, -1).T
+    return out.view("<u8").reshape(-1)
+
+
+def _pack(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending keys of 48 bits and their counts: low halves of the differences, which don't compress, and the rest."""
+    step = np.diff(keys, prepend=np.uint64(0))
+    return step.astype("<u4").tobytes(), zlib.compress(_planes(step >> np.uint64(32), 2) + _planes(counts, 6), 1)
+
+
+def _unpack(low: bytes, rest: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zlib.decompress(rest), np.uint8)
+    n = len(raw) // 8
+    step = (_from_planes(raw[: 2 * n], 2) << np.uint64(32)) | np.frombuffer(low, "<u4").astype(np.uint64)
+    return np.cumsum(step, dtype=np.uint64), _from_planes(raw[2 * n :], 6).astype(np.int64)
+
+
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = 2, min_count: int = 2) -> DataFrame:
     """doc_id, n_words, n_backoff (words whose longest context failed) and score of each document."""
     spark = docs.sparkSession
@@ -81,46 +107,38 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
         values, bucket, counts, _ = _keys(grams, buckets)
         number = held["chunk"][0].as_py() if held.num_rows else 0
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        low = np.minimum(counts, 0xFFFF).astype(np.uint64)
-        entry = (values << np.uint64(16)) | low
-        over = np.flatnonzero(counts > 0xFFFF)
         out = []
         for k in range(buckets):
             a, b = cuts[k], cuts[k + 1]
             if b > a:
-                more = over[(over >= a) & (over < b)]
-                # counts beyond 16 bits follow as (place, rest)
-                rest = np.stack(((more - a).astype(np.uint64), (counts[more] - 0xFFFF).astype(np.uint64)), axis=1)
-                out.append((k, number, entry[a:b].tobytes(), rest.tobytes()))
+                out.append((k, number, *_pack(values[a:b] & np.uint64((1 << 48) - 1), counts[a:b])))
         return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "chunk": pa.array([x[1] for x in out], pa.int32()), "entries": pa.array([x[2] for x in out], pa.binary()), "rest": pa.array([x[3] for x in out], pa.binary())})
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[int, np.ndarray, bytes]]] = {}
+        held: dict[int, list[tuple[int, bytes, bytes]]] = {}
         for batch in batches:
-            for bucket, number, raw, rest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                held.setdefault(bucket, []).append((number, np.frombuffer(raw.as_buffer(), np.uint64).copy(), rest))
+            for bucket, number, low, rest in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                held.setdefault(bucket, []).append((number, low, rest))
         for bucket in list(held):
             parts = held.pop(bucket)
-            entry = np.concatenate([x[1] for x in parts])
-            count = (entry & np.uint64(0xFFFF)).astype(np.int64)
-            at = 0
-            for _, own, rest in parts:
-                for place, n in np.frombuffer(rest, np.uint64).reshape(-1, 2).astype(np.int64).tolist():
-                    count[at + place] += n
-                at += len(own)
-            _, inverse = np.unique(entry >> np.uint64(16), return_inverse=True)
-            total = np.bincount(inverse, count)[inverse].astype("<u8")
+            numbers, sizes = [x[0] for x in parts], [len(x[1]) // 4 for x in parts]
+            keys, counts = zip(*(_unpack(x[1], x[2]) for x in parts), strict=True)
+            del parts
+            _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            del keys
+            total = np.bincount(inverse, np.concatenate(counts))[inverse].astype(np.uint64)
             at = 0
-            for number, own, _ in parts:
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([bucket], pa.int32()), pa.array([total[at : at + len(own)].tobytes()], pa.binary())], ["chunk", "bucket", "counts"])
-                at += len(own)
+            for number, size in zip(numbers, sizes, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([bucket], pa.int32()), pa.array([zlib.compress(_planes(total[at : at + size], 6), 1)], pa.binary())], ["chunk", "bucket", "counts"])
+                at += size
 
     def joined(held: pa.Table, got: pa.Table) -> pa.Table:
         texts = held["text"].combine_chunks() if held.num_rows else pa.array([], pa.string())
         grams, first = _grams(texts, order)
         _, _, _, place = _keys(grams, buckets)
         by = sorted(zip(got["bucket"].to_pylist(), got["counts"].to_pylist(), strict=True))
-        counts = np.frombuffer(b"".join(x[1] for x in by), "<u8").astype(np.float64)
+        told = [_from_planes(np.frombuffer(zlib.decompress(x[1]), np.uint8), 6) for x in by]
+        counts = np.concatenate(told).astype(np.float64) if told else np.zeros(0)
         n = len(grams[0])
         found = [np.where(g == 0, 0, counts[place[k * n : (k + 1) * n]]) for k, g in enumerate(grams)]
         # the context of a word's n-gram is the n-gram of one word less that ends before it

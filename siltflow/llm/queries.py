@@ -12,6 +12,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: Vocabulary file of op4 and op10.
 VOCABULARY = "word_bpe_49k.json"
 
+#: Words of the longest n-grams of op8.
+LM_ORDER = 3
+
 #: A document is kept from this quality score on.
 QUALITY_CUT = 0.3
 
@@ -58,7 +61,7 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltflow.llm import backoff_lm
 
-    return backoff_lm.score(table(spark, sf_dir, "documents"))
+    return backoff_lm.score(table(spark, sf_dir, "documents"), order=LM_ORDER)
 
 
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -226,6 +226,26 @@ def test_backoff(spark, order):
     assert backoff_lm.score(docs.limit(0), order=order).count() == 0
 
 
+def test_backoff_query_is_trigram(spark):
+    docs = queries.table(spark, SF, "documents")
+    got = {r.doc_id: (r.n_words, r.n_backoff, r.score) for r in queries.op8_backoff_lm(spark, SF).collect()}
+    want = {r.doc_id: (r.n_words, r.n_backoff, r.score) for r in backoff_lm.score(docs, order=3).collect()}
+    split = {r.doc_id: plain_words(low(r.text)) for r in docs.collect()}
+    count = collections.Counter(tuple(w[max(0, i - n + 1) : i + 1]) for w in split.values() for i in range(len(w)) for n in (1, 2, 3) if n <= i + 1)
+    failed = {k: sum(count[tuple(w[max(0, i - 2) : i + 1])] < 2 for i in range(1, len(w))) for k, w in split.items()}
+    assert got == want and {k: x[1] for k, x in got.items()} == failed
+
+
+def test_backoff_packing():
+    import numpy as np
+
+    keys = np.array([0, 1, 5, 1 << 33, (1 << 48) - 1], np.uint64)
+    counts = np.array([1, 255, 70000, 1, 1 << 40])
+    for k, c in ((keys, counts), (keys[:0], counts[:0]), (keys[4:], counts[4:])):
+        got = backoff_lm._unpack(*backoff_lm._pack(k, c))
+        assert got[0].tolist() == k.tolist() and got[1].tolist() == c.tolist()
+
+
 def F_lit():  # noqa: N802
     from pyspark.sql import functions as F
 
