@@ -17,7 +17,8 @@ columns are 64-bit shingle hashes.  Entries that cannot matter go before the pro
    links found there and its number of links, never the pairs.
 
 Defined results: null, empty and blank texts have no shingles, no links, and their own id as
-class; repeated rows are copies; null ids take no part in classes and get the class of an
+class; repeated rows are copies, and rows of one id with different texts are judged each by its
+own text (classes are numbered, never known by an id); null ids take no part in classes and get the class of an
 equal text; an empty table gives an empty table; other columns don't matter.
 """
 
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltflow.llm import storage
 from siltflow.llm.components import components
@@ -262,16 +264,23 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id, n_links."""
+    return _judged(docs, key, text, width, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+
+
+def _judged(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """doc_id, n, one, two, component_id, root (the number of the component, null without shingles) and n_links of each document."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     base = storage.materialize(set_rows(rows, width, False), "sets")
-    classes = storage.materialize(base.where("n > 0").groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("weight")), "set-classes")
+    classes = base.where("n > 0").groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("weight"))
+    # written once, so that the numbers stay
+    classes = storage.materialize(classes.withColumn("node", F.monotonically_increasing_id()), "set-classes")
     # step 1
     owner = F.least(F.shiftrightunsigned("one", 32), F.lit(0xFFFFFFFE))
     counted = classes.where("rep IS NOT NULL").withColumn("owner", owner).join(shared_counts(rows, width), "owner")
-    able = storage.materialize(counted.where(100 * F.col("n_shared") >= percent * F.col("n")).select(F.col("rep").alias("doc_id"), "one", "two", "weight"), "able-sets")
+    able = storage.materialize(counted.where(100 * F.col("n_shared") >= percent * F.col("n")).select(F.col("rep").alias("doc_id"), "one", "two", F.col("node").alias("doc"), "weight"), "able-sets")
     near = rows.join(_small(able.select("doc_id").distinct(), able.count()), "doc_id", "left_semi")
-    sets = set_rows(near, width, True).join(able, ["doc_id", "one", "two"]).select(F.col("doc_id").alias("doc"), "n", "weight", "grams").dropDuplicates(["doc"])
+    sets = set_rows(near, width, True).join(able, ["doc_id", "one", "two"]).select("doc", "n", "weight", "grams").dropDuplicates(["doc"])
     sets = storage.materialize(sets, "near-sets")
     # step 2
     longs = _as_longs(sets)
@@ -299,12 +308,16 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     dealt = left.union(right).repartition(storage.partitions(spark), "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "side", "doc")
     found = storage.materialize(dealt.mapInArrow(_multiply(percent), "doc long, root long, n_links long"), "links")
     roots = components(found.where("doc <> root").select(F.col("doc").alias("a"), F.col("root").alias("b")))
-    degree = found.groupBy(F.col("doc").alias("rep")).agg(F.sum("n_links").alias("n_links"))
-    full = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").join(degree, "rep", "left")
-    full = full.select("one", "two", F.coalesce("root", "rep").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    degree = found.groupBy(F.col("doc").alias("node")).agg(F.sum("n_links").alias("n_links"))
+    linked = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    lowest = storage.materialize(linked.join(classes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("least")), "lowest")
+    named = linked.join(_small(lowest, lowest.count()), "root")
+    full = classes.join(named, "node", "left").join(degree, "node", "left")
+    full = full.select("one", "two", F.coalesce("root", "node").alias("root"), F.coalesce("least", "rep").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     out = base.join(full, ["one", "two"], "left")
     empty = F.col("n") == 0
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
+    component = F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return out.select("doc_id", "n", "one", "two", component, F.when(~empty, F.col("root")).alias("root"), F.when(empty, 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
 
 
 def _as_longs(sets: DataFrame) -> DataFrame:
@@ -319,10 +332,36 @@ def _as_longs(sets: DataFrame) -> DataFrame:
     return sets.select("doc", "n", "grams").mapInArrow(run, "doc long, n long, grams array<long>")
 
 
+def _with_prints(docs: DataFrame, text: str, width: int) -> DataFrame:
+    """docs with _one and _two, which stand for each row's set."""
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [_print(own) for own in _sets(batch.column(place), width)]
+            columns = [pa.array([x[k] for x in prints], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "_one", "_two"])
+            release()
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_one", T.LongType()), T.StructField("_two", T.LongType())]))
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs with one document of each class left, that of the smallest key; rows without key stay."""
-    found = storage.materialize(join(docs, key, text, width, percent), "classes")
+    """The rows of docs with one document of each class left, that of the smallest key; rows without key stay.
+
+    A row of a key that occurs more than once is judged by its own text, and goes only if another row stands for its class.
+    """
+    found = storage.materialize(_judged(docs, key, text, width, percent), "classes")
+    again = storage.materialize(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "repeated-keys")
+    n = again.count()
+    own = F.col(key).cast("long")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs[key] == gone["_gone"], "left_anti")
-    again = found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").limit(1).count()
-    return left.dropDuplicates([key]) if again else left
+    once = docs.join(_small(again, n), own == F.col("_again"), "left_anti") if n else docs
+    left = once.join(gone, own == F.col("_gone"), "left_anti")
+    if not n:
+        return left
+    firsts = found.where("doc_id = component_id").join(_small(again, n), F.col("doc_id") == F.col("_again"), "left_semi")
+    firsts = firsts.select(F.col("doc_id").alias("_id"), F.col("one").alias("_one"), F.col("two").alias("_two"), F.col("root").alias("_root")).distinct()
+    repeated = _with_prints(docs.join(_small(again, n), own == F.col("_again"), "left_semi"), text, width)
+    kept = repeated.withColumn("_id", own).join(firsts, ["_id", "_one", "_two"]).dropDuplicates(["_id", "_root"])
+    return left.unionByName(kept.select(*docs.columns))

@@ -92,6 +92,26 @@ def test_jaccard_edges(spark, docs):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == want
 
 
+def test_jaccard_repeated_ids(spark):
+    near = lambda name, k: " ".join(f"{name}{j}" if j else f"{name}_{k}" for j in range(60))
+    rows = [
+        (None, "first row without id here"), (None, "second row without id here"), (None, None), (None, near("a", 0)),
+        (5, near("a", 1)), (5, near("b", 1)), (6, near("a", 2)), (7, near("b", 2)), (7, near("c", 1)), (7, near("c", 1)), (7, ""), (7, " "),
+        (3, near("d", 1)), (4, near("d", 2)), (4, near("e", 1)), (9, near("f", 1)), (9, near("f", 2)), (10, near("f", 3)),
+    ]
+    docs = spark.createDataFrame([(*x, "c") for x in rows], "doc_id long, text string, component_id string")
+    linked = [x for x in rows if x[0] is not None]  # rows without id take no part in classes
+    got = jaccard.join(docs.where("doc_id IS NOT NULL")).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(linked)
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    left = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+    for spare in ((7, ""), (9, near("f", 1))):  # either of two copies may stay
+        other = {(7, ""): (7, " "), (9, near("f", 1)): (9, near("f", 2))}[spare]
+        assert left.pop(spare, 0) + left.pop(other, 0) == 1
+    assert left == collections.Counter([*rows[:6], (7, near("c", 1)), (3, near("d", 1)), (4, near("e", 1))])
+
+
 def test_jaccard_product():
     import numpy as np
 
