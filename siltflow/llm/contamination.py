@@ -14,8 +14,9 @@ are verified by counting the item's shingles in the document.
 The sketches are broadcast when their rows, which are counted first, are within
 BROADCAST_ROWS; beyond that Spark joins by hash.  The same holds for candidate keys.
 
-Defined results: null and empty texts and items have no shingles and match nothing; rows of
-one key count as one document; null keys are one key; repeated items are found each by its
+Defined results: null and empty texts and items have no shingles and match nothing; in find(),
+as in its SQL, rows of one key count as one document, and null keys are one key; remove() judges
+each row by its own text; repeated items are found each by its
 id; columns other than key and text don't matter.
 """
 
@@ -91,8 +92,10 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def remove(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """The rows of docs whose document holds no item."""
+    """The rows of docs whose own text holds no item; a row's key doesn't matter, so rows without key or of one key don't fall together."""
     from siltflow.llm import storage
 
-    bad = storage.materialize(find(docs, items, key, text, item_key, item_text, threshold).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(_small(bad, bad.count()), docs[key].eqNullSafe(bad["_bad"]), "left_anti")
+    own = F.md5(F.coalesce(F.col(text), F.lit("")))
+    found = find(docs.select(own.alias("_row"), F.col(text).alias("_text")), items, "_row", "_text", item_key, item_text, threshold)
+    bad = storage.materialize(found.select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
+    return docs.join(_small(bad, bad.count()), own == F.col("_bad"), "left_anti")

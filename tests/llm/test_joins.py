@@ -171,6 +171,17 @@ def test_contamination(spark):
     assert contamination.find(docs.limit(0), items).count() == 0 and contamination.remove(docs, items.limit(0)).count() == len(rows)
 
 
+def test_contamination_removes_rows_by_their_own_text(spark):
+    item = [f"i{k}" for k in range(30)]
+    half = [" ".join(x) for x in (item[:17], item[13:])]
+    rows = [(None, " ".join(item)), (None, "clean words without id"), (None, None), (None, half[0]), (None, half[1]), (8, "x " + " ".join(item)), (8, "clean words of a repeated id"), (9, half[0]), (9, half[1]), (10, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    left = contamination.remove(docs, items)
+    assert left.columns == docs.columns
+    assert sorted(map(tuple, left.collect()), key=repr) == sorted((x for x in rows if x not in (rows[0], rows[5])), key=repr)
+
+
 def test_contamination_joined_by_hash(spark, monkeypatch):
     docs, items = queries.table(spark, SF, "documents"), queries.table(spark, SF, "benchmark")
     small = sorted(map(tuple, contamination.find(docs, items).collect()))
