@@ -43,6 +43,8 @@ HELD = 4 << 20
 BROADCAST_ROWS = 1_000_000
 #: Parts of the sets of one size in a component while they are numbered.
 SALTS = 16
+#: Bits that stand for a set while entries are dealt, 32 at most; sets that share them skip the count test.
+OWNER_BITS = 32
 _SHARED = np.uint64(0xFFFFFFFF)
 
 
@@ -80,19 +82,20 @@ def set_rows(docs: DataFrame, width: int, grams: bool) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, one long, two long" + ", grams binary" * grams)
 
 
-def _owner(one: np.ndarray) -> np.ndarray:
-    """32 bits that stand for a set while entries are dealt; never _SHARED."""
-    return np.minimum(one >> np.uint64(32), _SHARED - np.uint64(1))
+def _owner(one: np.ndarray, bits: int) -> np.ndarray:
+    """OWNER_BITS that stand for a set while entries are dealt; never _SHARED."""
+    return np.minimum(one >> np.uint64(64 - bits), _SHARED - np.uint64(1))
 
 
 def shared_counts(docs: DataFrame, width: int) -> DataFrame:
-    """owner, n_shared: how many shingles of a set others have, or more than that when hashes of 32 bits meet."""
+    """owner, n_shared: how many shingles of a set others have, or more than that when hashes meet; too few where two sets have one owner."""
     buckets = storage.partitions(docs.sparkSession)
+    bits = OWNER_BITS
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         owners: list[int] = []
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -119,12 +122,12 @@ def shared_counts(docs: DataFrame, width: int) -> DataFrame:
             for own in _sets(batch.column(0), width):
                 if not len(own):
                     continue
-                owner = int(_owner(np.array([_print(own)[0]]).view(np.uint64))[0])
-                if owner in seen:
+                both = _print(own)
+                if both in seen:
                     continue
-                seen.add(owner)
+                seen.add(both)
                 held.append(own)
-                owners.append(owner)
+                owners.append(int(_owner(np.array([both[0]]).view(np.uint64), bits)[0]))
                 size += len(own)
                 if size >= HELD:
                     yield from flush()
@@ -276,9 +279,11 @@ def _judged(docs: DataFrame, key: str, text: str, width: int, percent: int) -> D
     # written once, so that the numbers stay
     classes = storage.materialize(classes.withColumn("node", F.monotonically_increasing_id()), "set-classes")
     # step 1
-    owner = F.least(F.shiftrightunsigned("one", 32), F.lit(0xFFFFFFFE))
-    counted = classes.where("rep IS NOT NULL").withColumn("owner", owner).join(shared_counts(rows, width), "owner")
-    able = storage.materialize(counted.where(100 * F.col("n_shared") >= percent * F.col("n")).select(F.col("rep").alias("doc_id"), "one", "two", F.col("node").alias("doc"), "weight"), "able-sets")
+    owner = F.least(F.shiftrightunsigned("one", 64 - OWNER_BITS), F.lit(0xFFFFFFFE))
+    # entries of sets with one owner can't be told apart, so these sets stay whatever their count
+    meeting = classes.withColumn("owner", owner).withColumn("sets", F.count("*").over(Window.partitionBy("owner")))
+    counted = meeting.where("rep IS NOT NULL").join(shared_counts(rows, width), "owner", "left")
+    able = storage.materialize(counted.where((F.col("sets") > 1) | (100 * F.col("n_shared") >= percent * F.col("n"))).select(F.col("rep").alias("doc_id"), "one", "two", F.col("node").alias("doc"), "weight"), "able-sets")
     near = rows.join(_small(able.select("doc_id").distinct(), able.count()), "doc_id", "left_semi")
     sets = set_rows(near, width, True).join(able, ["doc_id", "one", "two"]).select("doc", "n", "weight", "grams").dropDuplicates(["doc"])
     sets = storage.materialize(sets, "near-sets")

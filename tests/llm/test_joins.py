@@ -83,6 +83,12 @@ def test_jaccard(docs, monkeypatch, block, columns, held):
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
+@pytest.mark.parametrize("bits", [1, 5])
+def test_jaccard_owners_meet(docs, monkeypatch, bits):
+    monkeypatch.setattr(jaccard, "OWNER_BITS", bits)
+    assert sorted(map(tuple, jaccard.join(docs).collect()), key=repr) == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
 def test_jaccard_edges(spark, docs):
     assert jaccard.join(docs.limit(0)).count() == 0
     kept = jaccard.keep_one(docs)
