@@ -40,7 +40,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltflow.llm import bpe
 
     path = vocabulary_path()
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep_text=False)
     both = bpe.decode(coded, path)
     spelled = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(spelled, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))

@@ -62,20 +62,68 @@ def test_bpe_is_the_librarys(spark, docs):
     assert [r.decoded for r in odd] == [lib.decode([5, 7], skip_special_tokens=False), "", ""]
 
 
-def test_short_way_for_all_low_characters():
+def test_other_files_get_whole_texts(spark, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    assert not bpe.encoder(path).by_word
+    for r in bpe.decode(bpe.encode(docs, path), path).collect():
+        want = lib.encode(r.text or "", add_special_tokens=False).ids
+        assert r.ids == want and r.decoded == lib.decode(want, skip_special_tokens=False), r.text
+
+
+def as_lists(coder, words):
+    ids, n = coder.words(pa.array(words, pa.string()))
+    return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] if words else []
+
+
+def test_merges_for_all_low_characters():
     coder = bpe.encoder(queries.vocabulary_path())
-    assert coder.short
-    words = [f"{a}{chr(k)}{b}" for k in range(0x300) for a, b in (("", ""), ("a", "b"), ("'", "s"))]
+    assert coder.by_word
+    words = [f"{a}{chr(k)}{b}" for k in range(0x300) for a, b in (("", ""), ("a", "b"), ("'", "s"), ("1'", "ll'"))]
     words = [x for w in words for x in re.findall("[^\x20\x09-\x0d]+", w)]
-    assert [list(x) for x in coder.table(words)] == [x.ids for x in coder.whole.encode_batch(words, add_special_tokens=False)]
+    assert as_lists(coder, words) == [x.ids for x in coder.whole.encode_batch(words, add_special_tokens=False)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="abthe'sStTrevmld12.,!éÉß\xa0\x85#<|>中İ", min_size=1, max_size=200), max_size=12))
+def test_merges_of_words(words):
+    coder = bpe.encoder(queries.vocabulary_path())
+    words = [*words, "<|endoftext|>", "a<|endoftext|>b", "a" * 127, "ab" * 90]
+    assert as_lists(coder, words) == [x.ids for x in coder.whole.encode_batch(words, add_special_tokens=False)]
 
 
-def test_table_starts_anew(monkeypatch):
-    monkeypatch.setattr(bpe, "TABLE_WORDS", 10)
-    coder = bpe.WordEncoder(queries.vocabulary_path())
-    for k in range(5):
-        words = [f"w{k}x{j}" for j in range(8)]
-        assert [list(x) for x in coder.table(words)] == [x.ids for x in coder.whole.encode_batch(words, add_special_tokens=False)]
+def test_many_chunks_share_one_word_table(spark, docs):
+    """Chunks of one task and of many, a long text by itself, columns named like those within, and repeated rows."""
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary_path()
+    lib = Tokenizer.from_file(path)
+    long = " ".join(f"word{k % 977} It's" for k in range(200_000))
+    rows = [(k, f"the {k % 13} words of {k % 7}", "c0", k) for k in range(300)] + [(7, long, None, 1), (7, long, None, 1), (None, None, "x", None)]
+    df = spark.createDataFrame(rows, "chunk long, text string, key string, mark long").repartition(3)
+    got = bpe.encode(df, path, keep_text=False)
+    assert got.columns == ["chunk", "key", "mark", "ids"]
+    want = sorted((repr((r[0], r[2], r[3])), lib.encode(r[1] or "", add_special_tokens=False).ids) for r in rows)
+    assert sorted((repr((r.chunk, r.key, r.mark)), r.ids) for r in got.collect()) == want
+
+
+def test_a_chunk_made_anew_is_not_joined_to_old_answers():
+    path = queries.vocabulary_path()
+    schema = pa.schema([("ids", pa.list_(pa.int32()))])
+    import unittest.mock as mock
+
+    with mock.patch("pyspark.TaskContext.get") as now:
+        now.return_value.partitionId.return_value = 0
+        (one,) = bpe._dealer(2)(iter([pa.record_batch({"c0": ["a b c"]})]))
+        (two,) = bpe._dealer(2)(iter([pa.record_batch({"c0": ["a b d"]})]))
+    told = pa.Table.from_batches(list(bpe._answerer(path)(iter([one]))))
+    chunk = lambda x: pa.Table.from_batches([x]).slice(0, 1)
+    assert bpe._joiner([None], schema)(chunk(one), told).num_rows == 1
+    with pytest.raises(RuntimeError):
+        bpe._joiner([None], schema)(chunk(two), told)
 
 
 @settings(max_examples=50, deadline=None)
