@@ -38,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the digests of the ids and of the text that they decode to."""
     path = queries.vocabulary_path()
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path).drop("text"), path)
+    both = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path, keep_text=False), path)
     spelled = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(spelled, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
