@@ -92,13 +92,55 @@ def test_quality_edges(spark):
 
 
 def test_toxicity(spark):
-    rows, truth = joined(spark, "op3_toxicity", "toxic")
+    """Held-out rows of every language, at the size at which each has a few dozen toxic training rows."""
+    large = "/root/testdata/sf0.1"
+    rows = {r.doc_id: r for r in queries.QUERIES["op3_toxicity"](spark, large).collect()}
+    assert len(rows) == queries.table(spark, large, "documents").count()
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows.values())
-    clean = [k for k, y in truth.items() if not y]
-    assert sum(rows[k].predicted for k in clean) <= 0.01 * len(clean)
-    english = {r.doc_id for r in queries.table(spark, SF, "documents").where("lang = 'en'").collect()}
-    toxic = [k for k, y in truth.items() if y and k in english]
-    assert sum(rows[k].predicted for k in toxic) >= 0.85 * len(toxic)
+    assert {k for k, r in rows.items() if r.held_out} == {k for k in rows if zlib.crc32(str(k).encode()) % 5 == 0}
+    lang = {r.doc_id: r.lang for r in queries.table(spark, large, "documents").collect()}
+    held = [(r.doc_id, r.toxic) for r in queries.table(spark, large, "labels").where("toxic IS NOT NULL").collect() if r.doc_id in rows and rows[r.doc_id].held_out]
+    share = lambda y, names: [rows[k].predicted for k, own in held if own == y and lang[k] in names]
+    every = ("en", "de", "es", "fr")
+    assert sum(share(1, every)) >= 0.9 * len(share(1, every))
+    assert sum(share(0, every)) <= 0.01 * len(share(0, every))
+    for name in every:  # of some languages there are a few rows only
+        assert len(share(1, name)) >= 5 and sum(share(1, name)) >= 0.85 * len(share(1, name)), name
+        assert sum(share(0, name)) <= 0.01 * len(share(0, name)) + 2, name
+
+
+def test_tokens_present_and_dense():
+    words = ["Scum scummy x"] + ["clean word " * 100 + "scum"] + ["", None, "scum " * 3 + "w " * 400]
+    known = np.unique(np.array([toxicity._word_hash("scum") | k for k in (0, 1)], np.uint64))
+    rows, at = toxicity.Hits(known)(pa.array(words))
+    got = {(r, int(known[k] & np.uint64(1))) for r, k in zip(rows.tolist(), at.tolist(), strict=True)}
+    assert got == {(0, 0), (0, 1), (1, 0), (4, 0)}  # dense from one word in 100 on
+    alone = toxicity.Hits(known[(known & np.uint64(1)) == 1])(pa.array(words))
+    assert alone[0].tolist() == [0] and toxicity.Hits(known[:0])(pa.array(words))[0].size == 0
+
+
+def test_label_model_against_plain_python():
+    """The posterior of the last round, from rates of the round before, by the recursion that defines them."""
+    rng = np.random.default_rng(8)
+    votes = rng.random((60, 6)) < 0.4
+    votes[:, 5] = ~votes[:, :2].any(axis=1)
+    prior = 0.2
+    rows, k = votes.tolist(), votes.shape[1]
+    q = [0.9 if any(r[: max(1, k - 1 - len(toxicity.PATTERNS) + 1)]) else 0.02 for r in rows]
+    group = [1] * k
+    for turn in range(25):
+        on, off = sum(q) + 1e-9, sum(1 - x for x in q) + 1e-9
+        mean = [sum(r[j] for r in rows) / len(rows) for j in range(k)]
+        one = [min(max((sum(x * r[j] for x, r in zip(q, rows, strict=True)) + 0.5 * prior) / (on + 1), 1e-4), 1 - 1e-4) for j in range(k)]
+        two = [min(max((sum((1 - x) * r[j] for x, r in zip(q, rows, strict=True)) + 0.5 * (1 - prior) * mean[j]) / (off + 1), 1e-4), 1 - 1e-4) for j in range(k)]
+        if turn in (2, 8):
+            dev = [[(r[j] - one[j]) * math.sqrt(x) for j in range(k)] for x, r in zip(q, rows, strict=True)]
+            var = [max(sum(d[j] ** 2 for d in dev), 1e-9) for j in range(k)]
+            group = [max(1, sum(sum(d[i] * d[j] for d in dev) / math.sqrt(var[i] * var[j]) > 0.35 for i in range(k))) for j in range(k)]
+        logits = [math.log(prior / (1 - prior)) + sum((math.log(one[j] / two[j]) if r[j] else math.log((1 - one[j]) / (1 - two[j]))) / group[j] for j in range(k)) for r in rows]
+        q = [1 / (1 + math.exp(-min(max(x, -30), 30))) for x in logits]
+    got, _, sizes = toxicity.label_model(votes, k - 1, prior)
+    assert sizes.tolist() == group and np.allclose(got, q, atol=1e-6)
 
 
 def test_label_model_finds_the_good_voters():
