@@ -10,8 +10,9 @@ columns are 64-bit shingle hashes.  Entries that cannot matter go before the pro
 2. Among the rest, only the rarest n - ceil(0.8 n) + 1 shingles of a set of n can be all
    missed by a partner; sets that share one of these are joined as stars, and the components
    of these stars hold every possible pair.
-3. Within a component, sets are ordered by size and cut into blocks; block pairs whose sizes
-   differ by more than the bound are discarded.  Each other pair of blocks is a product of two
+3. Within a component, sets are ordered by size and cut into blocks of bounded numbers of sets
+   and shingles; only block pairs that share a rare shingle, and whose sizes differ by no more
+   than the bound, are kept.  Each of these pairs of blocks is a product of two
    sparse slices, taken over slices of columns that accumulate overlap counts; it ends early
    when no pair can still reach its bound.  It returns a row for each set, its root among the
    links found there and its number of links, never the pairs.
@@ -25,6 +26,7 @@ equal text; an empty table gives an empty table; other columns don't matter.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +38,26 @@ from siltflow.llm import storage
 from siltflow.llm.components import components
 from siltflow.llm.textarrays import _splitmix, release, shingle_hashes, text_slices, word_hashes
 
-#: Sets of a block, columns of a slice, and shingles that a task holds before it passes them on.
-BLOCK = 256
-COLUMNS = 16384
-HELD = 4 << 20
 BROADCAST_ROWS = 1_000_000
 #: Parts of the sets of one size in a component while they are numbered.
 SALTS = 16
-#: Bits that stand for a set while entries are dealt, 32 at most; sets that share them skip the count test.
-OWNER_BITS = 32
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """How much is worked on at once; results don't depend on it."""
+
+    #: Shingles that a task holds before it deals them.
+    held: int = 1 << 20
+    #: Sets of a block, and shingles of a block (a larger set is a block of its own).
+    block: int = 256
+    grams: int = 1 << 20
+    #: Columns of a slice of the product.
+    columns: int = 16384
+    #: Bits that stand for a set while entries are dealt, 32 at most; sets that share them skip the count test.
+    owner_bits: int = 32
+
+
 _SHARED = np.uint64(0xFFFFFFFF)
 
 
@@ -83,14 +96,14 @@ def set_rows(docs: DataFrame, width: int, grams: bool) -> DataFrame:
 
 
 def _owner(one: np.ndarray, bits: int) -> np.ndarray:
-    """OWNER_BITS that stand for a set while entries are dealt; never _SHARED."""
+    """Bits that stand for a set while entries are dealt; never _SHARED."""
     return np.minimum(one >> np.uint64(64 - bits), _SHARED - np.uint64(1))
 
 
-def shared_counts(docs: DataFrame, width: int) -> DataFrame:
+def shared_counts(docs: DataFrame, width: int, sizes: Sizes) -> DataFrame:
     """owner, n_shared: how many shingles of a set others have, or more than that when hashes meet; too few where two sets have one owner."""
     buckets = storage.partitions(docs.sparkSession)
-    bits = OWNER_BITS
+    bits = sizes.owner_bits
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -129,7 +142,7 @@ def shared_counts(docs: DataFrame, width: int) -> DataFrame:
                 held.append(own)
                 owners.append(int(_owner(np.array([both[0]]).view(np.uint64), bits)[0]))
                 size += len(own)
-                if size >= HELD:
+                if size >= sizes.held:
                     yield from flush()
                     held, owners, seen, size = [], [], set(), 0
         if held:
@@ -175,7 +188,7 @@ def shared_counts(docs: DataFrame, width: int) -> DataFrame:
     return parts.mapInArrow(add, "owner long, n_shared long")
 
 
-def _product(left: list[np.ndarray], right: list[np.ndarray], n_left: np.ndarray, n_right: np.ndarray, percent: int) -> np.ndarray:
+def _product(left: list[np.ndarray], right: list[np.ndarray], n_left: np.ndarray, n_right: np.ndarray, percent: int, columns: int) -> np.ndarray:
     """Which pairs of sets are linked, from overlap counts that are accumulated over slices of columns."""
     sets = left + right
     gram = np.concatenate(sets)
@@ -190,14 +203,14 @@ def _product(left: list[np.ndarray], right: list[np.ndarray], n_left: np.ndarray
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     n_columns = int(both.sum())
-    overlap = np.zeros((len(left), len(right)), np.float32)
+    overlap = np.zeros((len(left), len(right)))
     # overlap * 100 >= percent * (a + b - overlap)
     bound = percent * (n_left[:, None] + n_right[None, :]) / (100 + percent) - 1e-6
     bound[np.minimum(n_left[:, None], n_right[None, :]) * 100 < percent * np.maximum(n_left[:, None], n_right[None, :])] = np.inf
-    rest = np.bincount(row, minlength=len(sets)).astype(np.float32)
-    for first in range(0, n_columns, COLUMNS):
-        a, b = np.searchsorted(column, (first, first + COLUMNS))
-        width = min(COLUMNS, n_columns - first)
+    rest = np.bincount(row, minlength=len(sets)).astype(np.float64)
+    for first in range(0, n_columns, columns):
+        a, b = np.searchsorted(column, (first, first + columns))
+        width = min(columns, n_columns - first)
         part = np.zeros((len(sets), width), np.float32)
         part[row[a:b], column[a:b] - first] = 1
         overlap += part[: len(left)] @ part[len(left) :].T
@@ -207,14 +220,14 @@ def _product(left: list[np.ndarray], right: list[np.ndarray], n_left: np.ndarray
     return overlap >= bound
 
 
-def _multiply(percent: int):
+def _multiply(percent: int, columns: int):
     def links(blocks: list[tuple[int, int, int, int, np.ndarray]]) -> tuple[list[int], list[int], list[int]]:
         """blocks: (side, doc, n, weight, grams); docs, roots and numbers of links."""
         sides = [[x for x in blocks if x[0] == side] for side in (0, 1)]
         alone = not sides[1]
         left, right = sides[0], sides[0] if alone else sides[1]
         n = [np.array([x[2] for x in side], np.float64) for side in (left, right)]
-        linked = _product([x[4] for x in left], [x[4] for x in right], *n, percent)
+        linked = _product([x[4] for x in left], [x[4] for x in right], *n, percent, columns)
         weights = [np.array([x[3] for x in side], np.int64) for side in (left, right)]
         if alone:
             np.fill_diagonal(linked, False)
@@ -265,12 +278,12 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, sizes: Sizes | None = None) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id, n_links."""
-    return _judged(docs, key, text, width, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    return _judged(docs, key, text, width, percent, sizes or Sizes()).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
 
 
-def _judged(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+def _judged(docs: DataFrame, key: str, text: str, width: int, percent: int, sizes: Sizes) -> DataFrame:
     """doc_id, n, one, two, component_id, root (the number of the component, null without shingles) and n_links of each document."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -279,17 +292,19 @@ def _judged(docs: DataFrame, key: str, text: str, width: int, percent: int) -> D
     # written once, so that the numbers stay
     classes = storage.materialize(classes.withColumn("node", F.monotonically_increasing_id()), "set-classes")
     # step 1
-    owner = F.least(F.shiftrightunsigned("one", 64 - OWNER_BITS), F.lit(0xFFFFFFFE))
+    owner = F.least(F.shiftrightunsigned("one", 64 - sizes.owner_bits), F.lit(0xFFFFFFFE))
     # entries of sets with one owner can't be told apart, so these sets stay whatever their count
     meeting = classes.withColumn("owner", owner).withColumn("sets", F.count("*").over(Window.partitionBy("owner")))
-    counted = meeting.where("rep IS NOT NULL").join(shared_counts(rows, width), "owner", "left")
+    counted = meeting.where("rep IS NOT NULL").join(shared_counts(rows, width, sizes), "owner", "left")
     able = storage.materialize(counted.where((F.col("sets") > 1) | (100 * F.col("n_shared") >= percent * F.col("n"))).select(F.col("rep").alias("doc_id"), "one", "two", F.col("node").alias("doc"), "weight"), "able-sets")
     near = rows.join(_small(able.select("doc_id").distinct(), able.count()), "doc_id", "left_semi")
     sets = set_rows(near, width, True).join(able, ["doc_id", "one", "two"]).select("doc", "n", "weight", "grams").dropDuplicates(["doc"])
     sets = storage.materialize(sets, "near-sets")
     # step 2
     longs = _as_longs(sets)
-    shared = longs.select("doc", "n", F.explode("grams").alias("gram")).withColumn("df", F.count("*").over(Window.partitionBy("gram"))).where("df > 1")
+    entries = longs.select("doc", "n", F.explode("grams").alias("gram"))
+    # counts come by a sum and a join, which adaptive execution splits, so that a very common shingle isn't one task
+    shared = entries.join(entries.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"), "gram")
     gathered = shared.groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
     allowed = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1 - (F.col("n") - F.size("g"))
     rare = gathered.where(allowed > 0).select("doc", F.explode(F.expr("slice(g, 1, int(n - ceil(n * {0} / 100 - 1e-9) + 1 - (n - size(g))))".format(percent))).alias("x")).select("doc", "x.gram")
@@ -300,18 +315,24 @@ def _judged(docs: DataFrame, key: str, text: str, width: int, percent: int) -> D
     members = together.union(together.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("doc"), F.col("root").alias("comp"))
     sized = members.join(sets.select("doc", "n"), "doc")
     # places by size within a component, counted in parts of one size and a hash so that no task sorts a whole component
-    sized = storage.materialize(sized.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS))), "sized")
+    units = F.greatest(F.lit(1), F.ceil(F.col("n") * sizes.block / sizes.grams)).cast("long")
+    sized = storage.materialize(sized.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS))).withColumn("units", units), "sized")
     before = Window.partitionBy("comp").orderBy("n", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sized.groupBy("comp", "n", "salt").count().select("comp", "n", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    starts = sized.groupBy("comp", "n", "salt").agg(F.sum("units").alias("u")).select("comp", "n", "salt", F.coalesce(F.sum("u").over(before), F.lit(0)).alias("start"))
     rank = F.row_number().over(Window.partitionBy("comp", "n", "salt").orderBy("doc")) - 1
-    placed = storage.materialize(sized.withColumn("rank", rank).join(starts, ["comp", "n", "salt"]).select("doc", "comp", "n", F.floor((F.col("start") + F.col("rank")) / BLOCK).alias("block")), "blocks")
-    blocks = placed.groupBy("comp", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    pairs = blocks.select("comp", F.col("block").alias("i"), "hi").join(blocks.select("comp", F.col("block").alias("j"), "lo"), "comp").where(f"i <= j AND 100 * hi >= {percent} * lo").select("comp", "i", "j")
+    block = F.floor((F.col("start") + F.col("rank") * F.col("units")) / sizes.block)
+    placed = storage.materialize(sized.withColumn("rank", rank).join(starts, ["comp", "n", "salt"]).select("doc", "comp", "n", block.alias("block")), "blocks")
+    # only blocks that have a rare shingle in common can hold a pair
+    bounds = placed.groupBy("comp", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    met = rare.join(placed.select("doc", "comp", "block"), "doc").select("gram", "comp", "block").distinct().join(bounds, ["comp", "block"])
+    met = storage.materialize(met, "met")
+    one, two = met.select("gram", "comp", F.col("block").alias("i"), "hi"), met.select("gram", F.col("block").alias("j"), "lo")
+    pairs = storage.materialize(one.join(two, "gram").where(f"i <= j AND 100 * hi >= {percent} * lo").select("comp", "i", "j").distinct(), "block-pairs")
     held = placed.select("doc", "comp", "block").join(sets, "doc")
     left = held.join(pairs.withColumnRenamed("i", "block"), ["comp", "block"]).select("comp", F.col("block").alias("i"), "j", F.lit(0).alias("side"), "doc", "n", "weight", "grams")
     right = held.join(pairs.where("i < j").withColumnRenamed("j", "block"), ["comp", "block"]).select("comp", "i", F.col("block").alias("j"), F.lit(1).alias("side"), "doc", "n", "weight", "grams")
     dealt = left.union(right).repartition(storage.partitions(spark), "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "side", "doc")
-    found = storage.materialize(dealt.mapInArrow(_multiply(percent), "doc long, root long, n_links long"), "links")
+    found = storage.materialize(dealt.mapInArrow(_multiply(percent, sizes.columns), "doc long, root long, n_links long"), "links")
     roots = components(found.where("doc <> root").select(F.col("doc").alias("a"), F.col("root").alias("b")))
     degree = found.groupBy(F.col("doc").alias("node")).agg(F.sum("n_links").alias("n_links"))
     linked = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
@@ -351,12 +372,12 @@ def _with_prints(docs: DataFrame, text: str, width: int) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_one", T.LongType()), T.StructField("_two", T.LongType())]))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, sizes: Sizes | None = None) -> DataFrame:
     """The rows of docs with one document of each class left, that of the smallest key; rows without key stay.
 
     A row of a key that occurs more than once is judged by its own text, and goes only if another row stands for its class.
     """
-    found = storage.materialize(_judged(docs, key, text, width, percent), "classes")
+    found = storage.materialize(_judged(docs, key, text, width, percent, sizes or Sizes()), "classes")
     again = storage.materialize(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "repeated-keys")
     n = again.count()
     own = F.col(key).cast("long")

@@ -73,20 +73,16 @@ def brute(rows):
     return sorted(((k, len(s), least.get(find(i)), links[i]) for i, (k, s) in enumerate(sets)), key=repr)
 
 
-@pytest.mark.parametrize("block, columns, held", [(256, 16384, 4 << 20), (7, 64, 500)])
-def test_jaccard(docs, monkeypatch, block, columns, held):
-    monkeypatch.setattr(jaccard, "HELD", held)
-    # tasks read these from the function's module, so the small ones are passed by the closure's defaults
-    monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard, "COLUMNS", columns)
-    got = sorted(map(tuple, jaccard.join(docs).collect()), key=repr)
+@pytest.mark.parametrize("sizes", [{}, {"held": 500, "block": 7, "columns": 64}, {"held": 3000, "grams": 2000, "columns": 100}])
+def test_jaccard(docs, sizes):
+    """Also with small blocks, cut by sets or by shingles, and products over several slices of columns."""
+    got = sorted(map(tuple, jaccard.join(docs, sizes=jaccard.Sizes(**sizes)).collect()), key=repr)
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
 @pytest.mark.parametrize("bits", [1, 5])
-def test_jaccard_owners_meet(docs, monkeypatch, bits):
-    monkeypatch.setattr(jaccard, "OWNER_BITS", bits)
-    assert sorted(map(tuple, jaccard.join(docs).collect()), key=repr) == brute([(r.doc_id, r.text) for r in docs.collect()])
+def test_jaccard_owners_meet(docs, bits):
+    assert sorted(map(tuple, jaccard.join(docs, sizes=jaccard.Sizes(owner_bits=bits)).collect()), key=repr) == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
 def test_jaccard_edges(spark, docs):
@@ -124,11 +120,12 @@ def test_jaccard_product():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(30)]
     n = np.array([len(x) for x in sets], float)
-    linked = jaccard._product(sets, sets, n, n, 40)
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets):
-            both = len(np.intersect1d(a, b))
-            assert linked[i, j] == (100 * both >= 40 * (len(a) + len(b) - both))
+    for columns in (7, 16384):
+        linked = jaccard._product(sets, sets, n, n, 40, columns)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                both = len(np.intersect1d(a, b))
+                assert linked[i, j] == (100 * both >= 40 * (len(a) + len(b) - both))
 
 
 def test_components(spark):
