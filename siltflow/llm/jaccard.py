@@ -48,12 +48,12 @@ class Sizes:
     """How much is worked on at once; results don't depend on it."""
 
     #: Shingles that a task holds before it deals them.
-    held: int = 1 << 20
+    held: int = 1 << 19
     #: Sets of a block, and shingles of a block (a larger set is a block of its own).
     block: int = 256
-    grams: int = 1 << 20
+    grams: int = 1 << 18
     #: Columns of a slice of the product.
-    columns: int = 16384
+    columns: int = 4096
     #: Bits that stand for a set while entries are dealt, 32 at most; sets that share them skip the count test.
     owner_bits: int = 32
 
@@ -80,16 +80,17 @@ def set_rows(docs: DataFrame, width: int, grams: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, ones, twos, raw = [], [], [], []
-            for own in _sets(batch.column(1), width):
-                one, two = _print(own)
-                sizes.append(len(own))
-                ones.append(one)
-                twos.append(two)
-                if grams:
-                    raw.append(own.tobytes())
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(raw, pa.binary())] * grams, ["doc_id", "n", "one", "two"] + ["grams"] * grams)
+            for a, b in text_slices(batch.column(1), 2 << 20):
+                sizes, ones, twos, raw = [], [], [], []
+                for own in _sets(batch.column(1).slice(a, b - a), width):
+                    one, two = _print(own)
+                    sizes.append(len(own))
+                    ones.append(one)
+                    twos.append(two)
+                    if grams:
+                        raw.append(own.tobytes())
+                columns = [batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(raw, pa.binary())] * grams, ["doc_id", "n", "one", "two"] + ["grams"] * grams)
             release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, one long, two long" + ", grams binary" * grams)
@@ -172,6 +173,7 @@ def shared_counts(docs: DataFrame, width: int, sizes: Sizes) -> DataFrame:
         part = (values % np.uint64(buckets)).astype(np.int64)
         rows = [(k, np.stack((values[part == k], total[part == k].astype(np.uint64))).tobytes()) for k in np.unique(part).tolist()]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary())], ["part", "counts"])
+        release()
 
     def summed(owners: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         values, place = np.unique(np.concatenate(owners), return_inverse=True)
@@ -181,6 +183,7 @@ def shared_counts(docs: DataFrame, width: int, sizes: Sizes) -> DataFrame:
         held = [np.frombuffer(raw.as_buffer(), np.uint64).reshape(2, -1) for batch in batches for raw in batch.column(1)]
         if held:
             values, total = summed([x[0] for x in held], [x[1].astype(np.int64) for x in held])
+            del held
             yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(total)], ["owner", "n_shared"])
 
     dealt = docs.select("text").mapInArrow(deal, "bucket int, entries binary").repartition(buckets, "bucket")
@@ -270,6 +273,8 @@ def _multiply(percent: int, columns: int):
                 held.append((side, doc, n, weight, np.frombuffer(raw.as_buffer(), np.uint64).copy()))
         if held:
             yield done()
+        held = []
+        release()
 
     return run
 

@@ -27,10 +27,10 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltflow.llm import folds
+from siltflow.llm import folds, storage
 from siltflow.llm.textarrays import text_bytes, text_slices
 
 ORDER = 3
@@ -145,14 +145,13 @@ def train(docs: DataFrame, lang: str = "lang", key: str = "doc_id", text: str =
     kept: dict[str, list[bytes]] = {}
     if sizes:
         shares = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, float(most_docs / n))])
-        sample = rows.where(F.col("u") < shares[F.col("lang")]).select("lang", "u", "doc_id", "text")
-        found = sample.collect()  # about most_docs texts of at most `longest` bytes a language
-        total: dict[str, int] = {}
+        sample = rows.where(F.col("u") < shares[F.col("lang")]).select("lang", "u", "text")
+        # about most_docs rows a language, of which the first most_bytes come to the driver
+        before = Window.partitionBy("lang").orderBy("u", "text").rowsBetween(Window.unboundedPreceding, -1)
+        sample = sample.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)))
+        found = sample.where(F.col("before") < most_bytes).select("lang", "u", "text").collect()
         for x in sorted(found, key=lambda x: (x["lang"], x["u"], x["text"])):
-            body = x["text"].lower().encode()
-            if total.get(x["lang"], 0) < most_bytes:
-                total[x["lang"]] = total.get(x["lang"], 0) + len(body)
-                kept.setdefault(x["lang"], []).append(body)
+            kept.setdefault(x["lang"], []).append(x["text"].lower().encode())
     return ContextModel(kept)
 
 
@@ -160,6 +159,7 @@ def predict(docs: DataFrame, model: ContextModel, text: str = "text", pred: str
     """Add the predicted language and its score."""
     if not model.languages:
         return docs.withColumns({pred: F.lit(UNKNOWN), score: F.lit(0.0)})
+    storage.bound_batches(docs.sparkSession)
     packed = pickle.dumps(model)
     name = hashlib.sha256(packed).hexdigest()
     shared = docs.sparkSession.sparkContext.broadcast(packed)  # counts of most_bytes bytes a language

@@ -167,6 +167,9 @@ def fit(unlabelled: DataFrame, positives: DataFrame, steps: int = 10, ridge: flo
 
     def newton(prior: float, w: np.ndarray, rounds: int) -> np.ndarray:
         risk, grad, curve = passed(w)
+        while risk - prior * np.logaddexp(0, xp @ w).mean() < 0:  # at zero weights it is (1 - prior) ln 2
+            w = w / 2
+            risk, grad, curve = passed(w)
         for _ in range(rounds):
             slope = grad - prior * mean_p + ridge * w
             step = np.linalg.solve(curve + ridge * np.eye(dims), slope)
@@ -193,12 +196,24 @@ def fit(unlabelled: DataFrame, positives: DataFrame, steps: int = 10, ridge: flo
     return QualityModel(centre, scale, newton(prior, start, steps), prior)
 
 
+def feature_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, features: held in the shared folder."""
+    from siltflow.llm import storage
+
+    rows = feature_rows(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "text")
+    return storage.materialize(rows.select("doc_id", "features"), "quality-features")
+
+
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", folds_n: int = 5, held_out: int = 0, most_positives: int = 20_000, key: str = "doc_id", text: str = "text") -> QualityModel:
-    from siltflow.llm import folds, storage
+    return fit_labels(feature_table(docs, key, text), labels, target, folds_n, held_out, most_positives, key)
+
+
+def fit_labels(rows: DataFrame, labels: DataFrame, target: str = "quality", folds_n: int = 5, held_out: int = 0, most_positives: int = 20_000, key: str = "doc_id") -> QualityModel:
+    """Fit on a feature_table: all rows are the unlabelled side, trusted positives are its rows that are labelled 1 outside the held-out fold."""
+    from siltflow.llm import folds
 
     marked = labels.where((folds.remainder(key, folds_n) != held_out) & (F.col(target) == 1)).select(F.col(key).alias("doc_id")).distinct()
     trusted = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_positives)  # most_positives keys: may be broadcast
-    rows = storage.materialize(feature_rows(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "text").select("doc_id", "features"), "quality-features")
     return fit(rows, rows.join(F.broadcast(trusted), "doc_id", "left_semi"))
 
 
@@ -211,3 +226,12 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", out: str = "
         return out
 
     return docs.withColumn(out, F.arrow_udf(run, "double")(F.col(text)))
+
+
+def score_features(rows: DataFrame, model: QualityModel, out: str = "score") -> DataFrame:
+    """score() for a feature_table."""
+
+    def run(held: pa.Array) -> pa.Array:
+        return pa.array(model.score(held.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)).astype(np.float64)))
+
+    return rows.withColumn(out, F.arrow_udf(run, "double")(F.col("features")))

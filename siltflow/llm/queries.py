@@ -33,7 +33,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltflow.llm import sharding
 
     dealt = sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return sharding.with_slots(dealt, "doc_id").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return sharding.with_slots(dealt, "doc_id", ties=["text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,9 +92,9 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltflow.llm import folds, quality
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model)
+    # features are made once, for the risk over all documents and for the scores
+    rows = quality.feature_table(table(spark, sf_dir, "documents"))
+    scored = quality.score_features(rows, quality.fit_labels(rows, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (folds.remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
 
 

@@ -36,8 +36,11 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return (-F.array_max(_draws(F.coalesce(key.cast("string"), F.lit("")), weights))["shard"]).cast("int")
 
 
-def with_slots(df: DataFrame, key: str, shard: str = "shard", slot: str = "slot") -> DataFrame:
-    """Number the rows of each shard without gaps from 0, in ascending (bucket of the key, key) order.
+def with_slots(df: DataFrame, key: str, shard: str = "shard", slot: str = "slot", ties: Sequence[str] = ()) -> DataFrame:
+    """Number the rows of each shard without gaps from 0, in ascending (bucket of the key, key, ties) order.
+
+    Rows of one key need columns that tell them apart as `ties`, so that a task that runs again
+    numbers them as before; rows that are equal in these too may change places.
 
     Rows are numbered inside (shard, bucket) windows and moved on by the rows of the buckets
     before, of which there are SLOT_BUCKETS a shard at most.
@@ -46,7 +49,7 @@ def with_slots(df: DataFrame, key: str, shard: str = "shard", slot: str = "slot"
     dealt = df.withColumn("_bucket", (F.conv(F.substring(F.md5(text_key), 1, 4), 16, 10).cast("int") % SLOT_BUCKETS))
     before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy(shard, "_bucket").count().select(shard, "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(shard, "_bucket").orderBy(F.col(key).asc_nulls_first())
+    inside = Window.partitionBy(shard, "_bucket").orderBy(F.col(key).asc_nulls_first(), *ties)
     ranked = dealt.withColumn("_rank", F.row_number().over(inside) - 1)
     # a row for each shard and bucket: bounded by the number of shards, not by the data
     return ranked.join(F.broadcast(starts), [shard, "_bucket"]).withColumn(slot, (F.col("_start") + F.col("_rank")).cast("long")).drop("_bucket", "_start", "_rank")

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths made in each scope that is open.
+_scopes: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; where that is unset (local tests), one is made and set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -24,22 +30,59 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/siltflow/{spark.sparkContext.applicationId}"
 
 
+#: Rows of an Arrow batch that passes between the JVM and Python, unless the session asks for fewer.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to BATCH_ROWS rows: texts of some KB make batches of some MB, on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[set[str]]:
+    """Delete the tables that are made inside, but for the paths that are added to the set this gives."""
+    kept: set[str] = set()
+    _scopes.append([])
+    try:
+        yield kept
+    finally:
+        for path in _scopes.pop():
+            if path in kept:
+                if _scopes:
+                    _scopes[-1].append(path)
+            else:
+                drop(spark, path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def sweep(spark: SparkSession) -> None:
     """Delete all tables that this application has written with new_path; DataFrames over them can't be read any more."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    drop(spark, _own_dir(spark))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
-    path = new_path(df.sparkSession, name)
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write df as a table in the shared folder (at `path`, or a new one) and read it back: lineage ends there, and lost executors lose nothing."""
+    bound_batches(df.sparkSession)
+    path = path or new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
+    bound_batches(spark)
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

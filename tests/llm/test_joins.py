@@ -227,6 +227,68 @@ def test_rules(spark):
     assert rules.judge(docs.limit(0)).count() == 0
 
 
+def test_rules_query_against_plain_python(spark):
+    """Votes, expectation-maximisation row by row, posteriors and verdicts of the whole query."""
+    rows = [r.asDict() for r in rules.metrics(queries.table(spark, SF, "documents")).collect()]
+    names = [*rules.RULES, "word_length"]
+
+    def vote(name, r):
+        n = max(r["n_words"], 1)
+        if name == "word_length":
+            mean = r["word_chars"] / n
+            return -1 if not 2.5 <= mean <= 12 else 1 if 3 <= mean <= 10 else 0
+        count, good, bad = rules.RULES[name]
+        x = r["n_words"] if name == "length" else r[count] / (max(r["n_lines"], 1) if name == "lines" else n)
+        if good > bad:
+            return 1 if x >= good else -1 if x <= bad else 0
+        return 1 if x <= good else -1 if x >= bad else 0
+
+    voted = [{x: vote(x, r) for x in names} for r in rows]
+    kinds = len(rules.KINDS)
+    q = []
+    for v in voted:
+        hit = [float(any(v[x] < 0 for x in group)) for group in rules.KINDS]
+        some = sum(hit)
+        bad = 0.9 if some else 0.05
+        q.append([1 - bad] + [bad * (x / some if some else 1 / kinds) for x in hit])
+    shares = [1 / (kinds + 1)] * (kinds + 1)
+    for turn in range(12):
+        total = [sum(x[k] for x in q) for k in range(kinds + 1)]
+        rate = []
+        for k in range(kinds + 1):
+            sums = {(x, s): sum(w[k] for w, v in zip(q, voted, strict=True) if v[x] == s) for x in names for s in (-1, 1)}
+            rate.append({(x, s): (sums[x, s] + 0.1) / (sums[x, -1] + sums[x, 1] + 0.2) for x, s in sums})
+        new = [(t + 1) / (sum(total) + kinds + 1) for t in total]
+        settled = turn and max(abs(a - b) for a, b in zip(new, shares, strict=True)) < 1e-4
+        shares, q = new, []
+        for v in voted:
+            logit = [math.log(shares[k] / shares[0]) + sum(math.log(rate[k][x, s] / rate[0][x, s]) for x, s in v.items() if s) for k in range(1, kinds + 1)]
+            odds = [1.0] + [math.exp(max(-30, min(30, x))) for x in logit]
+            q.append([x / sum(odds) for x in odds])
+        if settled:
+            break
+    want = {r["doc_id"]: x[0] for r, x in zip(rows, q, strict=True)}
+    got = queries.op9_rules(spark, SF).collect()
+    assert len(got) == len(rows) == len(want) and 0 < sum(r.kept for r in got) < len(got)
+    for r in got:
+        assert r.quality == pytest.approx(want[r.doc_id], abs=1e-9)
+        assert r.kept == (not r.base_failed and want[r.doc_id] >= 0.5)
+
+
+def test_very_long_texts(spark):
+    """One text of 300,000 words beside short ones, through each operator of this module."""
+    long = " ".join(f"w{k % 4001} v{k % 977}" for k in range(150_000))
+    docs = spark.createDataFrame([(0, long), (1, long + " end"), (2, "a b c d e f"), (3, None)], "doc_id long, text string")
+    own = {r.doc_id: r for r in rules.judge(docs).collect()}
+    assert own[0].n_words == 300_000 and own[0].base_failed == (100 * own[0].n_repeat_words > 20 * 300_000)
+    scored = {r.doc_id: r for r in backoff_lm.score(docs, order=3).collect()}
+    assert scored[0].n_words == 300_000 and scored[1].n_words == 300_001 and scored[3].score is None
+    items = spark.createDataFrame([(1, " ".join(long.split(" ")[200_000:200_030]))], "item_id long, text string")
+    assert {r.doc_id for r in contamination.find(docs, items).collect()} == {0, 1}
+    joined = {r.doc_id: (r.component_id, r.n_links) for r in jaccard.join(docs, sizes=jaccard.Sizes(held=1000, grams=5000, columns=700)).collect()}
+    assert joined == {0: (0, 1), 1: (0, 1), 2: (2, 0), 3: (3, 0)}
+
+
 def test_rules_are_native(spark):
     docs = queries.table(spark, SF, "documents")
     for df in (rules.metrics(docs).withColumns(rules.votes()), contamination.item_shingles(queries.table(spark, SF, "benchmark"), "item_id", "text")):

@@ -81,6 +81,57 @@ def test_quality(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows.values())
 
 
+def plain_risk_fit(x, trusted):
+    """The non-negative unbiased risk minimised on one matrix: Newton steps, halved while the negatives' part would fall below 0; the prior from the tails of a first fit."""
+    ridge, dims = 1e-3, x.shape[1]
+    negatives = lambda w, prior: np.logaddexp(0, x @ w).mean() - prior * np.logaddexp(0, trusted @ w).mean()
+
+    def newton(prior, w, rounds):
+        while negatives(w, prior) < 0:
+            w = w / 2
+        for _ in range(rounds):
+            s = 1 / (1 + np.exp(-(x @ w)))
+            slope = x.T @ s / len(x) - prior * trusted.mean(0) + ridge * w
+            curve = (x * (s * (1 - s))[:, None]).T @ x / len(x)
+            step = np.linalg.solve(curve + ridge * np.eye(dims), slope)
+            step *= min(1.0, 8.0 / np.abs(step).max())
+            size = 1.0
+            while negatives(w - size * step, prior) < 0 and size >= 0.1:
+                size /= 2
+            if negatives(w - size * step, prior) < 0:
+                break
+            w = w - size * step
+            if np.abs(size * step).max() < 0.02:
+                break
+        return w
+
+    start = newton(0.5, np.zeros(dims), 4)
+    edges = np.linspace(-8, 8, 161)
+    own, every = np.clip(np.digitize(trusted @ start, edges), 0, 161), np.clip(np.digitize(x @ start, edges), 0, 161)
+    tails = [((every >= k).mean(), (own >= k).mean()) for k in range(162) if (own >= k).sum() >= max(10, 0.1 * len(own))]
+    prior = float(np.clip(min(u / p for u, p in tails), 0.05, 0.98))
+    w = newton(prior, start, 10)
+    assert negatives(w, prior) >= 0
+    return prior, w
+
+
+def test_quality_query_against_plain_numpy(spark):
+    """The query's scores from the rows of all documents in one matrix."""
+    small = "/root/testdata/sf0.001"
+    docs = queries.table(spark, small, "documents").select("doc_id", "text").collect()
+    labels = {r.doc_id for r in queries.table(spark, small, "labels").collect() if r.quality == 1 and zlib.crc32(str(r.doc_id).encode()) % 5}
+    rows = np.concatenate([quality.features(pa.array([r.text], pa.string())) for r in docs]).astype(np.float32).astype(np.float64)
+    z = np.clip((rows - rows.mean(0)) / np.sqrt(np.maximum(rows.var(0), 1e-6)), -6, 6)
+    x = np.concatenate((z, z**2, np.ones((len(z), 1))), axis=1)
+    prior, weights = plain_risk_fit(x, x[[r.doc_id in labels for r in docs]])
+    model = quality.train(queries.table(spark, small, "documents"), queries.table(spark, small, "labels"))
+    assert model.prior == pytest.approx(prior) and np.allclose(model.weights, weights, atol=1e-5)
+    chance = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+    got = {r.doc_id: (r.score, r.predicted) for r in queries.QUERIES["op5_quality"](spark, small).collect()}
+    for r, p in zip(docs, chance, strict=True):
+        assert got[r.doc_id][0] == pytest.approx(p, abs=1e-5) and got[r.doc_id][1] == (got[r.doc_id][0] >= 0.3)
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, "Some sound words. More of them."), (2, None), (3, ""), (4, "# # # #"), (None, "x"), (1, "Some sound words. More of them.")], "doc_id long, text string").withColumn("features", F.lit(1))
     labels = spark.createDataFrame([(1, 1), (3, None), (None, 1), (99, 1), (1, 1)], "doc_id long, quality int")
@@ -206,3 +257,45 @@ def test_pipeline_against_its_parts(spark):
     for k, x in rows:
         if k in out:
             assert out[k].ids == lib.encode(x or "", add_special_tokens=False).ids
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Null, empty, very long and repeated rows, ties, missing ids and extra columns through all stages, and empty tables."""
+    pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    small = "/root/testdata/sf0.001"
+    item = queries.table(spark, small, "benchmark").first().text
+    sound = [r.text for r in queries.table(spark, small, "documents").join(queries.table(spark, small, "labels").where("quality = 1 AND toxic = 0"), "doc_id").where("lang = 'en' AND n_chars > 900").orderBy("doc_id").limit(4).collect()]
+    extra = [(10**6 + k, x) for k, x in enumerate([sound[0], sound[0], None, "", sound[1] + " " + item, (sound[2] + " ") * 300, sound[3]])] + [(10**6, sound[0]), (None, sound[3]), (None, sound[3] + " more words of its own")]
+    rows = [(k, x, "clash", 0.5, 1) for k, x in extra]
+    at = str(tmp_path / "sf")
+    schema = "doc_id long, text string, score string, _score double, key long"
+    queries.table(spark, small, "documents").selectExpr("doc_id", "text", "source AS score", "0.0 AS _score", "1L AS key").union(spark.createDataFrame(rows, schema)).write.parquet(f"{at}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        queries.table(spark, small, name).write.parquet(f"{at}/{name}.parquet")
+    docs, seen = queries.table(spark, at, "documents"), []
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        after = stage(spark, docs, at)
+        assert after.columns == docs.columns
+        docs = spark.createDataFrame(after.collect(), after.schema)
+        seen.append(docs.collect())
+    out = corpus_pipeline.run(spark, at).collect()
+    left = sorted((r.doc_id for r in seen[3]), key=repr)
+    assert sorted((r.doc_id for r in out), key=repr) == left
+    lib, texts = Tokenizer.from_file(queries.vocabulary_path()), {}
+    for r in seen[3]:
+        texts.setdefault(r.doc_id, []).append(lib.encode(r.text or "", add_special_tokens=False).ids)
+    for r in out:
+        assert r.ids in texts[r.doc_id]
+    judged = [r.doc_id for r in seen[1] if r.doc_id is None or r.doc_id >= 10**6]
+    if judged.count(10**6) == 2:  # equal rows and copies: the least id stays
+        assert left.count(10**6) + left.count(10**6 + 1) <= 1
+    assert left.count(None) == judged.count(None) and 10**6 + 4 not in left
+    for name, empty in (("none", "documents"), ("bare", "labels")):
+        for table in ("documents", "labels", "benchmark"):
+            df = queries.table(spark, small, table)
+            (df.limit(0) if table == empty else df.limit(40)).write.parquet(str(tmp_path / name / f"{table}.parquet"))
+        n = corpus_pipeline.run(spark, str(tmp_path / name)).count()
+        assert n == 0 if empty == "documents" else 0 < n <= 40

@@ -137,12 +137,15 @@ def test_levels_round_trip(values):
 
 
 @pytest.mark.parametrize("segment", [1 << 20, 50])
-def test_token_files(spark, docs, tmp_path, monkeypatch, segment):
+def test_token_files(spark, docs, tmp_path, segment):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(token_files, "SEGMENT_TOKENS", segment)
     path, at = queries.vocabulary_path(), str(tmp_path / "f")
-    token_files.write(docs, at, path)
+    docs = docs.union(spark.createDataFrame([(-(2**63), "least id", "s", "i", "z"), (2**63 - 1, "most id", "s", "i", "z")], ODD))
+    docs = docs.union(spark.range(100, 400).selectExpr("id", "repeat(concat('word', id, ' and more '), int(id % 9))", "'s'", "'i'", "'z'"))
+    token_files.write(docs, at, path, segment_tokens=segment)
+    segments = spark.read.parquet(f"{at}/segments").groupBy("part").count().collect()
+    assert len(segments) > 1 and (max(r["count"] for r in segments) > 5) == (segment == 50)
     lib = Tokenizer.from_file(path)
     want, start = [], 0
     held = [(r.doc_id, lib.encode(r.text or "", add_special_tokens=False).ids + [1]) for r in docs.collect()]
@@ -162,7 +165,7 @@ def test_token_files(spark, docs, tmp_path, monkeypatch, segment):
 
 def test_sharding(spark, docs):
     big = spark.range(4000).selectExpr("id AS doc_id", "concat('t', id % 7) AS text")
-    out = sharding.with_slots(sharding.assign(big.union(docs.select("doc_id", "text"))), "doc_id").collect()
+    out = sharding.with_slots(sharding.assign(big.union(docs.select("doc_id", "text"))), "doc_id", ties=["text_crc32", "size"]).collect()
     sizes = {}
     for r in out:
         body = (r.text or "").encode()
@@ -192,6 +195,14 @@ def test_folds_and_storage(spark, docs):
         assert r.m == zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 5
     held = storage.materialize(docs, "t")
     assert held.count() == docs.count() and storage.shared_dir(spark) == storage.shared_dir(spark)
+    with storage.scope(spark) as kept:
+        gone, stays = storage.new_path(spark, "gone"), storage.new_path(spark, "stays")
+        for at in (gone, stays):
+            docs.write.parquet(at)
+        kept.add(stays)
+    assert spark.read.parquet(stays).count() == docs.count()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(gone)
     storage.sweep(spark)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
         spark.read.schema(docs.schema).parquet(*held.inputFiles()).count()
