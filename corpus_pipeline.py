@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to
 the shared folder and reads it again for the next one.  All stages but the last return the
 columns of `documents`.
+
+Defined results: rows of null, empty or blank text are judged like any other text by the
+classifiers, are their own class in the join, hold no benchmark item and encode to no ids;
+rows of a repeated or missing doc_id are judged each by its own text; of equal rows with a doc_id
+one stays, rows without stay beside each other; ties between equal texts go to the least doc_id;
+empty tables pass through all stages as empty tables; without labels nothing is rejected as
+toxic, and quality scores are those of an unfitted model (0.5, so that all stay); extra columns
+are kept by all stages but the last.
 """
 
 from __future__ import annotations
@@ -50,7 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = queries.table(spark, sf_dir, "documents")
+    docs, last = queries.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = storage.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = storage.new_path(spark, name.replace(" ", "-"))
+        with storage.scope(spark):  # what a stage holds on its way goes with it
+            docs = storage.materialize(stage(spark, docs, sf_dir), name, path)
+        if last:
+            storage.drop(spark, last)
+        last = path
     return docs
