@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 from typing import Any
 
 from pyspark.sql import Column
@@ -166,48 +167,38 @@ def same(a: Any, b: Any) -> bool:
     return a == b
 
 
+#: A company suffix that stands alone at the end, without and with the sign for the end of a text that Python or Java has.
+_SUFFIX = f"(?:^| )(?:{'|'.join(COMPANY_SUFFIXES)})"
+
+
 def company_name(text: str) -> str:
-    low = text.lower()
-    for suffix in COMPANY_SUFFIXES:
-        head = low.removesuffix(suffix)
-        if head != low and (not head or head[-1] == " "):
-            low = head.rstrip()
-            break
-    return " ".join("".join(c if c.isalnum() or c.isspace() else " " for c in low).split())
-
-
-def fragments(pattern: str) -> tuple[bool, bool, list[str]] | None:
-    """The anchors and literal pieces of a small pattern; None for one without ^ $ . *, which is looked for as it is."""
-    if not set(pattern) & set("^$.*"):
-        return None
-    start, end = pattern.startswith("^"), False
-    body = pattern[1:] if start else pattern
-    if body.endswith("$"):
-        end, body = True, body[:-1]
-    return start, end, body.split(".*")
+    bare = re.sub(_SUFFIX + r"\Z", "", text.lower())
+    return re.sub(r"[\W_]+", " ", bare).strip()
+
+
+@lru_cache(maxsize=1024)
+def small_pattern(pattern: str) -> tuple[str, str]:
+    """A small pattern (^ and $ at its ends, .* between literal pieces) as a regex to be found and the tail that has to end the text.
+
+    The regex is the same for Python and Java; a piece that the end is tied to may stand anywhere
+    after the beginning, even over other pieces.  A pattern without ^ $ . * is one literal piece.
+    """
+    first, body, last = re.fullmatch(r"(\^?)(.*?)(\$?)", pattern, re.S).groups()
+    if not re.search(r"[$^.*]", pattern):
+        first, body, last = "", pattern, ""
+    pieces = [re.sub(r"([\\^$.|?*+()\[\]{}])", r"\\\1", x) for x in body.split(".*")]
+    whole = body.split(".*")
+    tail = ""
+    if last and not (first and len(pieces) == 1):
+        tail = whole[-1]
+        pieces = pieces[:-1]
+    tied = "^" if first and pieces and pieces[0] else ""
+    return tied + ".*?".join(filter(None, pieces)), tail
 
 
 def small_match(text: str, pattern: str) -> bool:
-    found = fragments(pattern)
-    if found is None:
-        return pattern in text
-    start, end, pieces = found
-    at = 0
-    for k, piece in enumerate(pieces):
-        if not piece:
-            continue
-        if k == 0 and start:
-            if not text.startswith(piece):
-                return False
-            at = len(piece)
-        elif k == len(pieces) - 1 and end:
-            return text.endswith(piece)
-        else:
-            hit = text.find(piece, at)
-            if hit < 0:
-                return False
-            at = hit + len(piece)
-    return True
+    regex, tail = small_pattern(pattern)
+    return text.endswith(tail) and re.search(regex, text, re.S) is not None
 
 
 def evaluate(node: Node, scope: dict[str, Any]) -> Any:
@@ -280,6 +271,8 @@ class Compiled:
     fails: Column | None = None
     literal: Any = ...
     nullable: bool = True
+    #: of an object, how many keys it has: all its fields, as a field of null is there
+    keys: int = 0
 
     def truth(self) -> Column:
         return truth_of(self.value, self.kind)
@@ -357,12 +350,14 @@ def compile_node(node: Node, schema: T.StructType) -> Compiled:
         elif root != "v":
             return Compiled(F.lit(None), "null", F.lit(True))
         if not rest:
-            return Compiled(F.struct(*[F.col(quoted(x)) for x in schema.names]), "object")
+            own = [x for x in schema.names if x not in ENVELOPE.values()]
+            return Compiled(F.struct(*[F.col(quoted(x)) for x in own]) if own else F.create_map(), "object" if own else "map", nullable=False, keys=len(own))
         found = resolve(tuple(rest), schema)
         if found is None:  # missing, or through something that is no object
             return Compiled(F.lit(None), "null", F.lit(True))
         above = resolve(tuple(rest[:-1]), schema) if len(rest) > 1 else None
-        return Compiled(found[0], kind_of(found[1]), above[0].isNull() if above else None)
+        keys = len(found[1].fields) if isinstance(found[1], T.StructType) else 0
+        return Compiled(found[0], kind_of(found[1]), above[0].isNull() if above else None, keys=keys)
     if node.kind == "not":
         inner = compile_node(node.parts[0], schema)
         return Compiled(~inner.truth(), "bool", inner.fails, nullable=False)
@@ -386,7 +381,8 @@ def _operation(node: Node, a: Compiled, b: Compiled) -> Compiled:
         elif a.kind == "number":
             equal = a.value.cast("double").eqNullSafe(b.value.cast("double")) if a.literal is ... and b.literal is ... else a.value.eqNullSafe(b.value)
         elif a.kind in ("array", "object", "map"):
-            equal = F.to_json(a.value).eqNullSafe(F.to_json(b.value))
+            told = lambda x: F.to_json(x, {"ignoreNullFields": "false"})
+            equal = told(a.value).eqNullSafe(told(b.value))
         else:
             equal = a.value.eqNullSafe(b.value)
         return Compiled(equal if node.value == "==" else ~equal, "bool", fails, nullable=False)
@@ -403,7 +399,7 @@ def _call(name: str, args: list[Compiled]) -> Compiled:
         value = {"null": lambda: F.lit(True), "string": lambda: first.value.isNull() | (first.value == ""), "array": lambda: first.value.isNull() | (F.size(first.value) == 0), "map": lambda: first.value.isNull() | (F.size(first.value) == 0)}.get(first.kind, lambda: first.value.isNull())()
         return Compiled(value, "bool", fails, nullable=False)
     if name == "length":
-        value = {"string": lambda: F.char_length(first.value), "array": lambda: F.size(first.value), "map": lambda: F.size(first.value), "object": lambda: F.json_array_length(F.to_json(F.array(first.value)))}.get(first.kind)
+        value = {"string": lambda: F.char_length(first.value), "array": lambda: F.size(first.value), "map": lambda: F.size(first.value), "object": lambda: F.lit(first.keys)}.get(first.kind)
         if value is None:
             return Compiled(F.lit(None).cast("int"), "number", F.lit(True))
         return Compiled(value(), "number", _either(fails, first.value.isNull() if first.nullable else None))
@@ -443,27 +439,14 @@ def _call(name: str, args: list[Compiled]) -> Compiled:
 
 
 def _company(text: Column) -> Column:
-    low = F.lower(text)
-    # the first suffix in the list that stands alone at the end
-    cut = low
-    for suffix in reversed(COMPANY_SUFFIXES):
-        cut = F.when(low.rlike(f"(?s)(^| ){suffix}$"), F.regexp_replace(low, f"(?U)\\s*{suffix}$", "")).otherwise(cut)
-    return F.trim(F.regexp_replace(F.regexp_replace(cut, "[^\\p{L}\\p{N}]", " "), "(?U)\\s+", " "))
+    bare = F.regexp_replace(F.lower(text), _SUFFIX + r"\z", "")
+    return F.trim(F.regexp_replace(bare, "[^\\p{L}\\p{N}]+", " "))
 
 
 def _pattern(text: Column, pattern: str) -> Column:
-    found = fragments(pattern)
-    if found is None:
-        return text.contains(pattern)
-    start, end, pieces = found
-    quote = lambda x: re.sub(r"([\\^$.|?*+()\[\]{}])", r"\\\1", x)
-    # the last piece has to end the text, wherever the others were
-    tail = pieces[-1] if end and pieces[-1] and not (len(pieces) == 1 and start) else None
-    rest = pieces[:-1] if tail is not None else pieces
-    regex = "^" if start and rest and rest[0] else ""
-    regex += ".*?".join(quote(x) for x in rest if x)
+    regex, tail = small_pattern(pattern)
     test = text.rlike("(?s)" + regex) if regex else text.isNotNull()
-    return test & text.endswith(tail) if tail is not None else test
+    return test & text.endswith(tail) if tail else test
 
 
 def compile_expression(source: str | Node, schema: T.StructType) -> Compiled:

@@ -12,7 +12,9 @@ CASES = [
     ("length(v.name)", 5), ("length(v.arr)", 3), ("length(v.x)", "error"), ("empty(v.none)", True), ("empty(v.blank)", True), ("empty(v.zero)", False),
     ("contains(v.name, ['zz', 'lic'])", True), ("contains(v.name, ['zz'])", False), ("contains(v.none, ['a'])", "error"),
     ("matches(v.name, 'lic')", True), ("matches(v.name, '^Ali')", True), ("matches(v.name, 'ce$')", True), ("matches(v.name, '^A.*e$')", True), ("matches(v.name, '^lic')", False), ("matches(v.name, '^Al$')", True),
-    ("normalize('Acme, Inc') == 'acme'", True), ("normalize('Acmeinc') == 'acmeinc'", True), ("normalize('Acme Foo Ltd') == 'acme foo'", True), ("v.name < 'Bob'", True), ("env.id == 'i1'", True), ("(v.x == 1 || v.x == 5) && v.flag", True), ("-5 < v.x", True),
+    ("normalize('Acme, Inc') == 'acme'", True), ("normalize('Acmeinc') == 'acmeinc'", True), ("normalize('Acme Foo Ltd') == 'acme foo'", True), ("v.name < 'Bob'", True),
+    ("matches(v.name, '^.*ic')", True), ("matches(v.name, 'A.*l.*e')", True), ("matches(v.name, 'e.*A')", False), ("matches(v.name, '.*')", True), ("matches(v.name, '^Alice.*ce$')", True), ("matches(v.name, 'a+')", False), ("matches(v.name, 'x.*ce$')", False),
+    ("normalize('Ltd') == ''", True), ("normalize('A_b-c  GmbH') == 'a b c'", True), ("normalize('Acme ltd inc') == 'acme ltd'", True), ("length(v.nested)", 1), ("v.nested == v.nested", True), ("env.id == 'i1'", True), ("(v.x == 1 || v.x == 5) && v.flag", True), ("-5 < v.x", True),
 ]
 
 
