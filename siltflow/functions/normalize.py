@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import csv
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Callable
@@ -305,11 +306,10 @@ def _parse_date(formats: list[str], assume_tz: str | None = None, convert_tz: st
         elif isinstance(t, T.StringType):
             text = trim(c)
             blank = c.isNull() | (text == "")
-            at, stopped = F.lit(None).cast("timestamp"), F.lit(False)
-            for fmt in formats:
-                got, skipped = utc(text, fmt)
-                at = F.when(at.isNotNull() | stopped, at).otherwise(got)
-                stopped = stopped | (at.isNull() & skipped)
+            # the first format that the text fits decides, even if by a local time that its zone skips
+            found = [utc(text, fmt) for fmt in formats]
+            hits = [F.when(got.isNotNull() | skipped, F.struct(got.alias("at"))) for got, skipped in found]
+            at = F.coalesce(*hits).getField("at") if hits else F.lit(None).cast("timestamp")
             failed = ~blank & at.isNull()
         elif isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)):
             at, blank, failed = c.cast("timestamp"), c.isNull(), None
@@ -667,12 +667,15 @@ class _Fold:
             "last": lambda k: F.try_element_at(group(k), F.lit(-1))["v"],
             "max": lambda k: F.array_max(F.transform(group(k), lambda p: p["v"])),
             "sum": lambda k: F.aggregate(group(k), F.lit(None).cast("double"), lambda a, p: F.coalesce(a + p["v"], a, p["v"].cast("double"))),
-            "array": lambda k: F.transform(group(k), lambda p: p["v"]),
+            # one value stays as it is, several are an array: a variant holds either
+            "array": lambda k: F.when(F.size(group(k)) == 1, _variant(F.get(group(k), F.lit(0))["v"])).otherwise(_variant(F.transform(group(k), lambda p: p["v"]))),
             "error": lambda k: F.get(group(k), F.lit(0))["v"],
         }
         if on_duplicate == "suffix":
             named = F.transform("_p", lambda p: F.struct(F.when(F.size(group(p["k"])) <= 1, p["k"]).otherwise(F.concat(p["k"], F.lit("_"), F.size(F.filter("_p", lambda q: (q["k"] == p["k"]) & (q["i"] <= p["i"]))).cast("string"))).alias("k"), p["v"].alias("v")))
-            out = F.map_from_entries(named)
+            # a name made by a suffix may also be a key: the last one wins
+            self.df = self.df.withColumn("_p", named).withColumn("_u", F.array_distinct(F.transform("_p", lambda p: p["k"])))
+            out = F.map_from_arrays("_u", F.transform("_u", lambda k: F.try_element_at(F.filter("_p", lambda p: p["k"] == k), F.lit(-1))["v"]))
         elif on_duplicate in value_of:
             out = F.map_from_arrays("_u", F.transform("_u", value_of[on_duplicate]))
         else:
@@ -685,6 +688,10 @@ class _Fold:
         self.df = self.df.drop("_k", "_v", "_p", "_u")
 
 
+def _variant(c: Column) -> Column:
+    return F.variant_get(F.parse_json(F.to_json(F.array(c), {"ignoreNullFields": "false"})), "$[0]", "variant")
+
+
 def _literal_column(value: Any) -> Column:
     if isinstance(value, dict):
         return F.struct(*[_literal_column(v).alias(k) for k, v in value.items()])
@@ -693,24 +700,45 @@ def _literal_column(value: Any) -> Column:
     return F.lit(value)
 
 
-def normalize(df: DataFrame, rules: list[dict[str, Any]] | None = None, profiles: list[dict[str, Any]] | None = None, rulebook: str | None = None, on_unmatched: str = "passthrough") -> Normalized:
-    """Apply rules, or those of the first profile whose `when` holds (a failing `when` doesn't), given as lists or as a YAML or JSON file."""
+def _read_book(path: str) -> Any:
+    from siltflow.sources.texts import yaml
+
+    with open(path, encoding="utf-8") as file:
+        return json.load(file) if path.endswith(".json") else yaml.safe_load(file)
+
+
+def _used(path: str, folder: str) -> list[dict[str, Any]]:
+    """The rules of a file that a profile names with `use`: a flat rulebook, beside the file that names it."""
+    book = _read_book(os.path.join(folder, path))
+    rules = book if isinstance(book, list) else book.get("rules") if isinstance(book, dict) else None
+    if not isinstance(rules, list) or (isinstance(book, dict) and "profiles" in book):
+        raise RuleError(f"use: {path!r} has to be a flat rulebook")
+    return rules
+
+
+def normalize(df: DataFrame, rules: list[dict[str, Any]] | None = None, profiles: list[dict[str, Any]] | None = None, rulebook: str | None = None, on_unmatched: str = "passthrough", folder: str = ".") -> Normalized:
+    """Apply rules, or those of the first profile whose `when` holds (a failing `when` doesn't), given as lists or as a YAML or JSON file.
+
+    A profile has `rules`, or names with `use` a file of rules, beside the rulebook (or under `folder`).
+    """
     if sum(x is not None for x in (rules, profiles, rulebook)) != 1:
         raise RuleError("give exactly one of rules, profiles and rulebook")
     if rulebook is not None:
-        from siltflow.sources.texts import yaml
-
-        with open(rulebook, encoding="utf-8") as file:
-            book = yaml.safe_load(file)
+        book = _read_book(rulebook)
+        folder = os.path.dirname(os.path.abspath(rulebook))
         rules, profiles = (book, None) if isinstance(book, list) else (book.get("rules"), book.get("profiles"))
     if rules is not None:
         return _finish(_folded(df, rules))
     case: Column | None = None
+    for profile in profiles:
+        if ("rules" in profile) == ("use" in profile):
+            raise RuleError("a profile has either rules or use")
+    held = [_used(x["use"], folder) if "use" in x else x["rules"] or [] for x in profiles]
     for k, profile in enumerate(profiles):
         test = F.lit(True) if profile.get("when") is None else F.coalesce(predicate(parse(profile["when"]), df.schema), F.lit(False))
         case = F.when(test, k) if case is None else case.when(test, k)
     marked = df.withColumn("_profile", F.coalesce(case, F.lit(-1)) if case is not None else F.lit(-1))
-    parts = [_folded(marked.where(F.col("_profile") == k).drop("_profile"), profile.get("rules") or []) for k, profile in enumerate(profiles)]
+    parts = [_folded(marked.where(F.col("_profile") == k).drop("_profile"), own) for k, own in enumerate(held)]
     rest = _Fold(marked.where("_profile = -1").drop("_profile")).df
     if on_unmatched == "drop":
         rest = rest.withColumn(_DROP, F.lit(True))

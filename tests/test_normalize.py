@@ -93,10 +93,27 @@ def test_shapes(spark):
     assert "joined" not in row and "filled" not in row
 
 
-@pytest.mark.parametrize("how, want", [("array", {"fee": [5, 1], "tax": [2]}), ("suffix", {"fee_1": 5, "fee_2": 1, "tax": 2}), ("first", {"fee": 5, "tax": 2}), ("last", {"fee": 1, "tax": 2}), ("max", {"fee": 5, "tax": 2}), ("sum", {"fee": 6, "tax": 2}), ("error", None)])
+@pytest.mark.parametrize("how, want", [("array", {"fee": [5, 1], "tax": 2}), ("suffix", {"fee_1": 5, "fee_2": 1, "tax": 2}), ("first", {"fee": 5, "tax": 2}), ("last", {"fee": 1, "tax": 2}), ("max", {"fee": 5, "tax": 2}), ("sum", {"fee": 6, "tax": 2}), ("error", None)])
 def test_to_object(spark, how, want):
     df = spark.createDataFrame([(["fee", "tax", "fee"], [5, 2, 1])], "k array<string>, x array<long>")
-    assert normalize(df, [{"op": "to_object", "keys": "v.k", "values": "v.x", "target": "v.o", "on_duplicate": how}]).data.first().o == want
+    got = normalize(df, [{"op": "to_object", "keys": "v.k", "values": "v.x", "target": "v.o", "on_duplicate": how}]).data.first().o
+    assert (got if how != "array" else {k: x.toPython() for k, x in got.items()}) == want
+
+
+def test_to_object_names_that_meet(spark):
+    df = spark.createDataFrame([(["fee_1", "fee", "fee"], [5, 2, 1])], "k array<string>, x array<long>")
+    made = normalize(df, [{"op": "to_object", "keys": "v.k", "values": "v.x", "target": "v.o", "on_duplicate": "suffix"}]).data
+    assert made.first().o == {"fee_1": 2, "fee_2": 1}
+
+
+def test_many_date_formats(spark):
+    """The plan grows in proportion to the formats; the first that fits decides."""
+    formats = [f"%Y{x}%m{x}%d" for x in "-/._ "] + ["%d-%m-%Y", "%d/%m/%Y", "%d.%m.%Y", "%Y%m%d", "%d%m%Y", "%H:%M:%S %d.%m.%Y", "%d %m %Y"]
+    df = spark.createDataFrame([("2024-05-06",), ("07.08.2023",), ("05:06:07 01.02.2022",), ("x",), ("",)], "s string")
+    rule = {"op": "parse_date", "path": "v.s", "formats": formats, "assume_tz": "Europe/London", "output": "date"}
+    out = normalize(df, [rule])
+    assert sorted((r.s for r in out.data.collect()), key=repr) == sorted(["2024-05-05", "2023-08-06", "2022-02-01", None, None], key=repr)
+    assert out.trace.count() == 1
 
 
 def test_policies(spark):
@@ -123,3 +140,16 @@ def test_require_and_profiles(spark):
 def test_bad_rules(spark, rule):
     with pytest.raises(RuleError):
         normalize(spark.createDataFrame([("a",)], "s string"), [rule])
+
+
+def test_profiles_that_use_a_file(spark, tmp_path):
+    import json
+
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, s string")
+    (tmp_path / "up.json").write_text(json.dumps({"rules": [{"op": "case", "path": "v.s", "to": "upper"}]}))
+    (tmp_path / "book.json").write_text(json.dumps({"profiles": [{"when": "v.id == 1", "use": "up.json"}, {"rules": []}]}))
+    assert sorted(r.s for r in normalize(df, rulebook=str(tmp_path / "book.json")).data.collect()) == ["A", "b"]
+    (tmp_path / "deep.json").write_text(json.dumps({"profiles": [{"rules": []}]}))
+    for bad in ({"use": "deep.json"}, {"use": "up.json", "rules": []}, {"when": "v.id == 1"}):
+        with pytest.raises((RuleError, OSError)):
+            normalize(df, profiles=[bad], folder=str(tmp_path))
