@@ -1,7 +1,8 @@
 """Sinks: text files chosen by a record's `file`, with or without dedup by content, and terminal drains.
 
 A target path is a folder of part files that Spark commits as a whole.  Rows of one target
-are in order within its parts.
+are in order within its parts.  Rows meet by target, and adaptive execution splits a large target
+among tasks, so that one target may hold all rows.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def write_stream(df: DataFrame, base: str, kind: str = "ndjson", default_file: s
         write_mode = "append"  # an unknown mode appends
     keep = [F.col(order)] if order in df.columns else []
     lines = df.select(_targets(df, default_file).alias("file"), line_of(df, kind, csv_columns).alias("value"), *[c.alias("_ord") for c in keep])
-    dealt = lines.repartition("file").sortWithinPartitions("file", *(["_ord"] if keep else [])).drop("_ord")
+    dealt = _dealt(lines, bool(keep))
     writer = dealt.write.partitionBy("file").mode("append" if write_mode == "append" else "overwrite")
     if write_mode == "truncate":
         writer = writer.option("partitionOverwriteMode", "dynamic")
@@ -55,17 +56,34 @@ def write_stream(df: DataFrame, base: str, kind: str = "ndjson", default_file: s
     return df if pass_through else None
 
 
+def _dealt(lines: DataFrame, ordered: bool) -> DataFrame:
+    return lines.hint("rebalance", "file").sortWithinPartitions("file", *(["_ord"] if ordered else [])).drop("_ord")
+
+
 def target_lines(spark: SparkSession, base: str) -> DataFrame:
     """file, value of all lines written under base."""
-    return spark.read.schema("value string, file string").option("basePath", base).text(base) if _exists(spark, base) else spark.createDataFrame([], "value string, file string")
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/file=*")
+    targets = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    if not targets:
+        return spark.createDataFrame([], "value string, file string")
+    return spark.read.schema("value string, file string").option("basePath", base).text(base)
+
+
+def _size(spark: SparkSession, base: str) -> int:
+    """Bytes of all files under base, as the file system knows them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(base)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.getContentSummary(at).getLength() if files.exists(at) else 0
 
 
-def write_hashed(df: DataFrame, base: str, kind: str = "ndjson", default_file: str | None = "out", hash_field: str | None = None, order: str = "_ord", csv_columns: Sequence[str] = ()) -> DataFrame:
+def write_hashed(df: DataFrame, base: str, kind: str = "ndjson", default_file: str | None = "out", hash_field: str | None = None, order: str = "_ord", csv_columns: Sequence[str] = (), sidecar: bool = True) -> DataFrame:
     """write_stream without records that their target already holds, nor repeated ones.  Gives the rejected rows.
 
     Records are told apart by their line, or by row[hash_field] (a row without it is rejected).
-    Keys seen are kept in base/_keys, a table beside the output; it starts from the lines that
-    are there when the table is missing.
+    Keys seen are kept in <base>_keys, a table beside the output, with the output's size after
+    each run.  Where it is missing, or the output has another size than it was left with, keys are
+    taken from the lines that are there and the table is made anew; without `sidecar` they always
+    are, and no table is kept.
     """
     spark = df.sparkSession
     line = line_of(df, kind, csv_columns)
@@ -73,10 +91,13 @@ def write_hashed(df: DataFrame, base: str, kind: str = "ndjson", default_file: s
     marked = df.withColumns({"_file": _targets(df, default_file), "_line_text": line, "_k": line if field is None else field})
     bad = marked.where(F.col("_k").isNull()).drop("_file", "_line_text", "_k").withColumn("_error", F.lit(f"no field {hash_field}"))
     at = f"{base.rstrip('/')}_keys"
-    if _exists(spark, at):
-        seen = spark.read.schema("file string, k string").parquet(at)
+    held = target_lines(spark, base)
+    known = spark.read.schema("file string, k string, bytes long").parquet(at) if sidecar and _exists(spark, at) else None
+    # files only ever grow, so the last run's size is the largest
+    rebuilt = known is None or (known.agg(F.max("bytes").alias("n")).first()["n"] or 0) != _size(spark, base)
+    if not rebuilt:
+        seen = known.where("bytes IS NULL").select("file", "k")
     else:
-        held = target_lines(spark, base)
         seen = held.select("file", (F.col("value") if hash_field is None else F.get_json_object("value", f"$.{hash_field}")).alias("k"))
     fresh = marked.where(F.col("_k").isNotNull()).join(seen.select(F.col("file").alias("_file"), F.col("k").alias("_k")), ["_file", "_k"], "left_anti")
     place = F.col(order) if order in df.columns else F.monotonically_increasing_id()
@@ -84,9 +105,13 @@ def write_hashed(df: DataFrame, base: str, kind: str = "ndjson", default_file: s
     from siltflow.operators.builtins import checkpoint
 
     new = checkpoint(first.select(F.col("_file").alias("file"), F.col("_k").alias("k"), "x.value", "x._ord"), f"{base.rstrip('/')}_new")
-    new.select("file", "value", "_ord").repartition("file").sortWithinPartitions("file", "_ord").drop("_ord").write.partitionBy("file").mode("append").text(base)
-    keys = new.select("file", "k")
-    (keys if _exists(spark, at) else keys.union(seen.select("file", "k"))).write.mode("append").parquet(at)
+    _dealt(new.select("file", "value", "_ord"), True).write.partitionBy("file").mode("append").text(base)
+    if sidecar:
+        keys = new.select("file", "k")
+        if rebuilt:  # of the lines as they were, and with them
+            keys = keys.union(seen.select("file", "k"))
+        keys.withColumn("bytes", F.lit(None).cast("long")).write.mode("overwrite" if rebuilt else "append").parquet(at)
+        spark.createDataFrame([(None, None, _size(spark, base))], "file string, k string, bytes long").write.mode("append").parquet(at)
     return bad
 
 

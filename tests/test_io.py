@@ -44,6 +44,49 @@ def test_lines_and_csv(spark, tmp_path):
         R.read_csv(spark, at, delim="ab")
 
 
+def test_places_are_those_in_the_file(spark, tmp_path):
+    """row_idx, _id and _src count physical lines and CSV records, whatever is skipped."""
+    read = R.read_ndjson(spark, put(tmp_path / "p.ndjson", '{"a":1}\n\nBAD\n   \n{"a":3}\n{"a":4}\n'), skip=1, limit=1)
+    assert [(r.row_idx, r._src.rsplit(":", 1)[1]) for r in read.rows.collect()] == [(4, "5")]
+    assert sorted((r.line_no, r.input) for r in read.errors.collect()) == [(2, "BAD"), (3, "   ")]
+    csv = R.read_csv(spark, put(tmp_path / "p.csv", "a,b\n\n1,2\n3,4\n\n5,6\n"), skip=1)
+    assert [(r.row_idx, r.row["a"]) for r in csv.rows.orderBy("row_idx").collect()] == [(1, "3"), (2, "5")]
+    (tmp_path / "many").mkdir()
+    for name, text in (("a", "x\ny\n"), ("b", ""), ("c", "z\n")):
+        put(tmp_path / "many" / f"{name}.txt", text)
+    many = R.read_lines(spark, str(tmp_path / "many"))
+    assert sorted((r.file.rsplit("/", 1)[1], r.row_idx, r.row) for r in many.rows.collect()) == [("a.txt", 0, "x"), ("a.txt", 1, "y"), ("c.txt", 0, "z")]
+    assert sorted((r.file.rsplit("/", 1)[1], r.rows) for r in many.meta.collect()) == [("a.txt", 2), ("b.txt", 0), ("c.txt", 1)]
+
+
+def test_lines_of_a_file_in_many_splits(spark, tmp_path):
+    at = put(tmp_path / "big.txt", "".join(f"line {k}\n" for k in range(20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = R.read_lines(spark, at).rows
+        assert spark.read.text(at).rdd.getNumPartitions() > 5
+        assert rows.where("row <> concat('line ', row_idx)").count() == 0 and rows.count() == 20_000
+        assert R.read_lines(spark, at, skip=15_000, limit=3).rows.agg({"row_idx": "sum"}).first()[0] == 45_003
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_csv_quotes_and_names(spark, tmp_path):
+    rows = lambda text, **kw: [r.row for r in R.read_csv(spark, put(tmp_path / "q.csv", text), **kw).rows.orderBy("row_idx").collect()]
+    assert rows("a,b,a\n1,2,3\n") == [{"a": "3", "b": "2"}]  # the last of a repeated name
+    assert rows('a,b\n"x\ny",1\n5" pipe,2\n') == [{"a": "x\ny", "b": "1"}, {"a": '5" pipe', "b": "2"}]
+    assert rows('a,b\n"say ""hi""",1\n') == [{"a": 'say "hi"', "b": "1"}]
+    assert rows('"1\n2",3\n4,5\n', header=False) == [["1\n2", "3"], ["4", "5"]]
+
+
+def test_fields_of_the_input_record(spark, tmp_path):
+    at = put(tmp_path / "in.ndjson", '{"a":1}\n{"a":2}\n')
+    inputs = spark.createDataFrame([(at, "north", 9)], "path string, region string, row_idx long")
+    read = R.with_input(R.read_ndjson(spark, at, "a long"), inputs)
+    assert sorted((r.row.a, r.region, r.row_idx) for r in read.rows.collect()) == [(1, "north", 0), (2, "north", 1)]
+
+
 def test_seed(spark, tmp_path):
     assert R.seed(spark).count() == 0
     row = R.seed(spark, '{"x":1}').first()
@@ -68,6 +111,9 @@ def test_scan(spark, tmp_path):
     assert R.scan_fs(spark, root, exclude=["*.txt"], hidden=True).count() == 2
     assert R.scan_fs(spark, root, depth=1).count() == 1
     assert R.scan_fs(spark, root, min_size=2, hash="blake2b").first().hash.__len__() == 32
+    own = lambda df: sorted((r.directory, r.filename, r.ext, r.size, r.hash) for r in df.collect())
+    for how in ({}, {"include": "**/*.pdf"}, {"exclude": ["*.txt"]}, {"depth": 1}, {"min_size": 2, "hash": "blake2b"}, {"max_size": 1, "hash": "none"}):
+        assert own(R.scan_store(spark, root, **how)) == own(R.scan_fs(spark, root, **how)), how
     before = R.scan_fs(spark, root).cache()
     before.count()
     put(tmp_path / "a.txt", "changed")
@@ -94,6 +140,15 @@ def test_write_and_hashed(spark, tmp_path):
     W.write_hashed(one.union(spark.createDataFrame([(3, 3)], "_ord long, a long")), hashed)
     assert sorted(r.value for r in W.target_lines(spark, hashed).collect()) == ['{"a":1}', '{"a":2}', '{"a":3}']
     keyed = spark.createDataFrame([(0, "X", 1), (1, "Y", 1), (2, "X", 2), (3, None, 1)], "_ord long, id string, n long")
+    import shutil
+
+    shutil.rmtree(next((tmp_path / "hashed").glob("file=*")))  # the output isn't what the keys say: they are made anew
+    W.write_hashed(one, hashed)
+    assert sorted(r.value for r in W.target_lines(spark, hashed).collect()) == ['{"a":1}', '{"a":2}']
+    bare = str(tmp_path / "bare")
+    for _ in range(2):
+        W.write_hashed(one, bare, sidecar=False)
+    assert W.target_lines(spark, bare).count() == 2 and not (tmp_path / "bare_keys").exists()
     bad = W.write_hashed(keyed, str(tmp_path / "keyed"), hash_field="id")
     assert W.target_lines(spark, str(tmp_path / "keyed")).count() == 2 and bad.count() == 1
     assert W.drain(one) is None and len(W.drain(one, "memory")) == 3
