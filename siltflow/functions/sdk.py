@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from siltflow.operators.accumulators import Registry
 from siltflow.operators.builtins import Outputs
+from siltflow.operators.scratch import hold
 
 #: Queue steps for one record at most.
 QUEUE_STEPS = 100_000
@@ -96,11 +97,12 @@ class Context:
             handler(v, settings, self)
 
 
-def run_tool(df: DataFrame, tool: Any, settings: dict[str, Any] | None = None, accept_meta: bool = False) -> Outputs:
+def run_tool(df: DataFrame, tool: Any, settings: dict[str, Any] | None = None, accept_meta: bool = False, once: bool = False) -> Outputs:
     """Run a tool over envelopes (_t, _id, _src, v as JSON text) or over plain columns, which become v.
 
-    The results are one DataFrame, split by kind; the tool runs once for each of the outputs that
-    is asked for, so write or persist `data` before asking for more if that is dear.
+    The results are one DataFrame, split by kind.  With `once` it is written to the shared folder, a
+    folder for each kind, and the tool runs once; else the plan is lazy and the tool runs for each
+    output that is asked for.
     """
     settings = settings or {}
     if "v" not in df.columns:
@@ -125,6 +127,8 @@ def run_tool(df: DataFrame, tool: Any, settings: dict[str, Any] | None = None, a
             yield pa.RecordBatch.from_pydict({k: [x[n] for x in out] for n, k in enumerate(("kind", "_id", "_src", "v"))}, pa.schema([(k, pa.string()) for k in ("kind", "_id", "_src", "v")]))
 
     made = rows.select("_id", "_src", "v").mapInArrow(run, "kind string, _id string, _src string, v string")
+    if once:
+        made = hold(made, "tool", by="kind")
     part = lambda *kinds: made.where(F.col("kind").isin(*kinds))
     return Outputs(part("output").drop("kind"), part("meta").drop("kind"), part("trace", "log", "stats"), part("error").drop("kind"))
 
@@ -143,5 +147,5 @@ def tool(name: str) -> Callable[[Any], Any]:
 
 
 def registered() -> dict[str, Callable]:
-    """Registered tools as Runner takes them."""
-    return {k: (lambda df, settings, own=v: run_tool(df, own() if isinstance(own, type) else own, settings)) for k, v in _tools.items()}
+    """Registered tools as Runner takes them; each runs once."""
+    return {k: (lambda df, settings, own=v: run_tool(df, own() if isinstance(own, type) else own, settings, once=True)) for k, v in _tools.items()}

@@ -9,10 +9,13 @@ from __future__ import annotations
 import os
 import re
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,36 +137,64 @@ def group_by(df: DataFrame, key: Sequence[str] | str, label: str, value: str, ex
 
     Output: _group_key, _seq (which emission of its key), _partial, and labels (a map of label to
     value).  With emit_partial, what is left at the end follows as partial.  Expected labels win
-    over the threshold.  The rows of a key are folded in order in one task: the operator's
-    state is a whole key's, as its meaning asks; keys are spread over the cluster.
+    over the threshold.  Emissions depend on all rows of a key before them, so a key is folded in
+    order by one task, which streams its sorted rows and holds one group at a time.  Without labels
+    or a threshold only the end counts: that is an aggregation, combined before the shuffle.
     """
     paths = [key] if isinstance(key, str) else list(key)
     val = resolve(tuple(value.removeprefix("v.").split(".")), df.schema)
     if val is None:
         raise ValueError(f"no column for {value!r}")
     wanted = list(dict.fromkeys(expected or []))
-    item = F.struct(F.struct(*[F.col(quoted(x)) for x in order]).alias("o"), segment(df.schema, label).alias("l"), val[0].alias("x"))
-    groups = df.groupBy(key_text(df, paths).alias("_group_key")).agg(F.sort_array(F.collect_list(item)).alias("_items"))
-    pair = f"struct<l:string,x:{val[1].simpleString()}>"
-    state = F.struct(F.array().cast(f"array<{pair}>").alias("now"), F.array().cast(f"array<array<{pair}>>").alias("done"))
-
-    def step(acc: Column, it: Column) -> Column:
-        new = F.struct(it["l"].alias("l"), it["x"].alias("x"))
-        now = F.concat(F.filter(acc["now"], lambda p: p["l"] != it["l"]), F.array(new))
-        if wanted:
-            full = F.size(F.array_intersect(F.transform(now, lambda p: p["l"]), F.array(*map(F.lit, wanted)))) == len(wanted)
-        elif count_threshold:
-            full = F.size(now) >= count_threshold
-        else:
-            full = F.lit(False)
-        return F.when(full, F.struct(F.array().cast(f"array<{pair}>").alias("now"), F.concat(acc["done"], F.array(now)).alias("done"))).otherwise(F.struct(now.alias("now"), acc["done"].alias("done")))
-
-    folded = groups.select("_group_key", F.aggregate("_items", state, step).alias("_s"))
-    done = folded.select("_group_key", F.posexplode("_s.done").alias("_seq", "_pairs"), F.lit(False).alias("_partial"))
-    if emit_partial:
-        rest = folded.where(F.size("_s.now") > 0).select("_group_key", F.size("_s.done").alias("_seq"), F.col("_s.now").alias("_pairs"), F.lit(True).alias("_partial"))
-        done = done.unionByName(rest)
-    return done.select("_group_key", "_seq", "_partial", F.map_from_entries("_pairs").alias("labels"))
+    places = [f"_o{k}" for k in range(len(order))]
+    rows = df.select(key_text(df, paths).alias("_group_key"), *[F.col(quoted(x)).alias(o) for x, o in zip(order, places, strict=True)], segment(df.schema, label).alias("l"), val[0].alias("x"))
+    if not wanted and not count_threshold:
+        place = F.struct(*places)
+        last = rows.groupBy("_group_key", "l").agg(F.max(place).alias("o"), F.max_by("x", place).alias("x"))
+        pairs = F.transform(F.sort_array(F.collect_list(F.struct("o", "l", "x"))), lambda p: F.struct(p["l"], p["x"]))
+        ends = last.groupBy("_group_key").agg(F.map_from_entries(pairs).alias("labels"))
+        return ends.where(F.lit(emit_partial)).select("_group_key", F.lit(0).alias("_seq"), F.lit(True).alias("_partial"), "labels")
+    ties = ["l", "x"] if isinstance(val[1], T.AtomicType) else ["l"]
+    dealt = rows.repartition("_group_key").sortWithinPartitions("_group_key", *places, *ties).select("_group_key", "l", "x")
+    schema = T.StructType([T.StructField("_group_key", T.StringType()), T.StructField("_seq", T.IntegerType()), T.StructField("_partial", T.BooleanType()), T.StructField("labels", T.MapType(T.StringType(), val[1]))])
+    return dealt.mapInArrow(_folder(set(wanted), count_threshold, emit_partial), schema)
+
+
+def _folder(wanted: set[str], count_threshold: int | None, emit_partial: bool, most: int = 10_000):
+    """Rows (key, label, value), sorted, to groups; `most` of them in a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[str, int, bool, list[tuple[str, Any]]]] = []
+        key, seq, now, kind = None, 0, {}, None
+
+        def made() -> pa.RecordBatch:
+            columns = zip(*out, strict=True)
+            types = (pa.string(), pa.int32(), pa.bool_(), pa.map_(pa.string(), kind))
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["_group_key", "_seq", "_partial", "labels"])
+
+        def ended() -> None:
+            if emit_partial and now:
+                out.append((key, seq, True, list(now.items())))
+
+        for batch in batches:
+            kind = batch.column(2).type
+            for k, label, x in zip(*(batch.column(n).to_pylist() for n in range(3)), strict=True):
+                if k != key:
+                    ended()
+                    key, seq, now = k, 0, {}
+                now.pop(label, None)  # the last write of a label is the last in order
+                now[label] = x
+                if (wanted <= now.keys()) if wanted else (len(now) >= count_threshold):
+                    out.append((key, seq, False, list(now.items())))
+                    seq, now = seq + 1, {}
+                if len(out) >= most:
+                    yield made()
+                    out.clear()
+        ended()
+        if out:
+            yield made()
+
+    return run
 
 
 def group_by_unique(df: DataFrame, key: Sequence[str] | str, label: str, value: str, expected: Sequence[str]) -> DataFrame:
@@ -208,27 +239,58 @@ def fan_in(inputs: Sequence[DataFrame]) -> DataFrame:
 
 
 def replicas(df: DataFrame, n: int, routing: str = "round-robin") -> DataFrame:
-    """Spread rows over n partitions: round-robin (least-busy is the same) or by a hash of _id.  Results don't depend on it."""
-    return df.repartition(n, "_id") if routing == "hash-id" else df.repartition(n)
+    """Rows of one _id in one of n partitions, for routing "hash-id".  Round-robin and least-busy move nothing: Spark already runs a stage in as many tasks as it has splits."""
+    return df.repartition(n, "_id") if routing == "hash-id" else df
 
 
-def gate(df: DataFrame, name: str, path: str, expect_count: int | None = None, stage: str = "gate", order: str = "_ord", key: str = "_id") -> DataFrame:
-    """Pass rows on and write the gate's state (name, count, last_id, updated_at, predicate_met, stage_id) to path as JSON.
+def observed(x: Observation) -> bool:
+    """Whether an action that has ended has passed the rows of an observation; its metrics come a moment later than its end."""
+    if x._jo is None:
+        return False
+    SparkContext._active_spark_context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return bool(x._jo.future().isCompleted())
 
-    The state is one row from an aggregation; the rows are not touched.  At the end of input
-    the predicate is met whatever the count, as expect_count only lets followers begin early.
-    """
-    last = F.max_by(F.col(key).cast("string"), F.col(order)) if key in df.columns and order in df.columns else F.lit(None).cast("string")
-    state = df.agg(F.count("*").alias("count"), last.alias("last_id"))
-    state.select(F.lit(name).alias("name"), "count", "last_id", F.lit(int(time.time() * 1000)).alias("updated_at"), F.lit(True).alias("predicate_met"), F.lit(stage).alias("stage_id")).coalesce(1).write.mode("overwrite").json(path)
+
+class Gate:
+    """Rows that pass through `data` untouched and are counted on their way, by whatever action they pass first."""
+
+    def __init__(self, df: DataFrame, name: str, path: str, stage: str = "gate", order: str = "_ord", key: str = "_id"):
+        self.name, self.path, self.stage = name, path, stage
+        last = F.max_by(F.col(key).cast("string"), F.col(order)) if key in df.columns and order in df.columns else F.max(F.lit(None).cast("string"))
+        self.seen = Observation(f"gate-{name}-{time.time_ns()}")
+        self.data = df.observe(self.seen, F.count(F.lit(1)).alias("count"), last.alias("last_id"))
+
+    def settle(self) -> None:
+        """Write the state (name, count, last_id, updated_at, predicate_met, stage_id) to path as JSON; rows that no action has passed are run through here.
+
+        At the end of input the predicate is met whatever the count: expect_count only lets
+        followers begin early.
+        """
+        if not observed(self.seen):
+            self.data.write.format("noop").mode("overwrite").save()
+        got = self.seen.get
+        row = (self.name, got["count"], got["last_id"], int(time.time() * 1000), True, self.stage)
+        schema = "name string, count long, last_id string, updated_at long, predicate_met boolean, stage_id string"
+        self.data.sparkSession.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").json(self.path)
+
+
+def gate(df: DataFrame, name: str, path: str, expect_count: int | None = None, stage: str = "gate", order: str = "_ord", key: str = "_id") -> DataFrame:
+    """Pass rows on, after their count has been written; a Gate counts them on their way instead."""
+    own = Gate(df, name, path, stage, order, key)
+    own.settle()
     return df
 
 
-def checkpoint(df: DataFrame, folder: str, gates: Sequence[str] = ()) -> DataFrame:
-    """Hold all rows until the input has ended and all gates are met: written to a new folder under `folder` and read back."""
+def checkpoint(df: DataFrame, folder: str, gates: Sequence[str] = (), settle: Sequence[Gate] = ()) -> DataFrame:
+    """Hold all rows until the input has ended and all gates are met: written to a new folder under `folder` and read back.
+
+    Gates of `settle` write their state when the rows have been written, which as a rule has passed them.
+    """
     spark = df.sparkSession
     path = f"{folder.rstrip('/')}/spool-{time.time_ns()}"
     df.write.parquet(path)
+    for x in settle:
+        x.settle()
     for at in gates:
         met = spark.read.json(at).agg(F.bool_and("predicate_met").alias("met")).first()["met"]
         if not met:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltflow.operators.scratch import hold
+
 
 def log(entries: DataFrame, errors: DataFrame | None = None, stage: str | None = None, only: str | None = None, search: str | None = None, regex: bool = False, tail: int = 50) -> DataFrame:
     """The last `tail` records by t of a session's log (t, sid, level, msg) and errors (t, sid, error, input).
@@ -25,6 +27,10 @@ def log(entries: DataFrame, errors: DataFrame | None = None, stage: str | None =
     df = parts[0]
     for x in parts[1:]:
         df = df.unionByName(x, allowMissingColumns=True)
+    return _matching(df, stage, search, regex).orderBy(F.desc("t")).limit(tail).orderBy("t")
+
+
+def _matching(df: DataFrame, stage: str | None, search: str | None, regex: bool) -> DataFrame:
     if stage is not None:
         df = df.where(F.col("sid") == stage)
     if search is not None:
@@ -34,7 +40,12 @@ def log(entries: DataFrame, errors: DataFrame | None = None, stage: str | None =
             if name in df.columns:
                 test = test | F.coalesce(F.col(name).rlike(pattern), F.lit(False))
         df = df.where(test)
-    return df.orderBy(F.desc("t")).limit(tail).orderBy("t")
+    return df
+
+
+def follow(spark: SparkSession, folder: str, stage: str | None = None, search: str | None = None, regex: bool = False) -> DataFrame:
+    """A stream of the matching log records (t, sid, level, msg) of a session's log table: those there, and those that come."""
+    return _matching(spark.readStream.schema("t long, sid string, level string, msg string").parquet(folder), stage, search, regex)
 
 
 def journal(stages: Sequence[str], trace: DataFrame, errors: DataFrame) -> DataFrame:
@@ -61,16 +72,20 @@ def traced(df: DataFrame, sid: str, labels: Mapping[str, Column] | None = None,
 
 
 def provenance(trace: DataFrame, ids: DataFrame, most_steps: int = 50) -> DataFrame:
-    """id, step, at: the records that each id comes from, by following id to src; one join a step, and no cycles."""
-    edges = trace.where("id <> src").select("id", "src").distinct()
-    now = ids.select(F.col("id"), F.col("id").alias("at"), F.lit(0).alias("step"))
-    out = now
-    for step in range(1, most_steps + 1):
-        now = now.join(edges.select(F.col("id").alias("at"), F.col("src").alias("next")), "at").select("id", F.col("next").alias("at"), F.lit(step).alias("step"))
+    """id, step, at: the records that each id comes from, by following id to src; step is the shortest way.
+
+    One join a step, each held in the shared folder, until a step finds no record that the id
+    hasn't met; so circles end.  A way of more than `most_steps` is an error.
+    """
+    edges = trace.where("id <> src").select(F.col("id").alias("at"), F.col("src").alias("next")).distinct()
+    met = now = hold(ids.select("id", F.col("id").alias("at"), F.lit(0).alias("step")).distinct(), "ids")
+    for step in range(1, most_steps + 2):
+        further = now.join(edges, "at").select("id", F.col("next").alias("at"), F.lit(step).alias("step")).distinct()
+        now = hold(further.join(met, ["id", "at"], "left_anti").select("id", "at", "step"), "ancestors")
         if now.isEmpty():
-            break
-        out = out.unionByName(now)
-    return out
+            return met
+        met = met.unionByName(now)
+    raise RuntimeError(f"a way of more than {most_steps} steps")
 
 
 # ---- snapshots

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import time
 from collections.abc import Callable, Mapping
@@ -11,9 +12,11 @@ from typing import Any
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from siltflow.functions.expression import quoted
 from siltflow.functions.normalize import normalize
 from siltflow.operators import builtins as B
-from siltflow.plans.variant import Variant, VariantError, filled, inputs_of, order, validate, with_prefixes
+from siltflow.operators import sessions as S
+from siltflow.plans.variant import Variant, VariantError, deep_merge, filled, inputs_of, order, validate, with_prefixes
 from siltflow.sources import readers, writers
 
 Tool = Callable[[DataFrame, dict[str, Any]], "DataFrame | B.Outputs"]
@@ -29,14 +32,16 @@ class Run:
     trace: dict[str, DataFrame] = field(default_factory=dict)
     order: list[str] = field(default_factory=list)
     observations: dict[str, Observation] = field(default_factory=dict)
+    gates: dict[str, B.Gate] = field(default_factory=dict)
 
     def leaves(self, variant: Variant) -> dict[str, DataFrame]:
         used = {x for s in variant.stages.values() for x in inputs_of(s)}
         return {k: v for k, v in self.data.items() if k not in used and k.split(".")[0] not in used}
 
-    def journal(self) -> list[dict[str, Any]]:
-        """rows_out of each stage whose rows an action has passed; asks nothing of the cluster."""
-        return [{"sid": k, "rows_out": o.get.get("rows_out")} for k, o in self.observations.items()]
+    def journal(self, wait: bool = True) -> list[dict[str, Any]]:
+        """rows_out of each stage whose rows an action has passed; asks nothing of the cluster.  Without `wait`, stages that no action has passed are left out."""
+        there = {k: o for k, o in self.observations.items() if wait or B.observed(o)}
+        return [{"sid": k, "rows_out": o.get.get("rows_out")} for k, o in there.items()]
 
 
 class Runner:
@@ -49,12 +54,12 @@ class Runner:
         self.prefixes = {"session": session_dir, **(prefixes or {})}
 
     def compile(self, variant: Variant, source: DataFrame) -> Run:
-        if errors := validate(variant, self.tools, self.environ):
+        if errors := validate(variant, self.tools, self.environ, self.prefixes):
             raise VariantError(*errors)
         run = Run(order=order(variant.stages))
         for name in run.order:
             stage = {k: filled(v, self.environ) for k, v in variant.stages[name].items()}
-            stage["settings"] = with_prefixes(stage.get("settings") or {}, self.prefixes)
+            stage["settings"] = self._settings(stage)
             if stage["tool"] == "dedup" and stage.get("dedup"):
                 stage["dedup"] = with_prefixes(stage["dedup"], self.prefixes)
             parts = [source if x == "$input" else run.data[x] for x in inputs_of(stage)]
@@ -64,6 +69,75 @@ class Runner:
             self._stage(run, name, stage, df)
         return run
 
+    def execute(self, variant: Variant, source: DataFrame, trace: bool = True) -> Run:
+        """Compile, run every leaf and leave a session: tables under session_dir that `operators.sessions` queries.
+
+        data/<stage> has the rows of each leaf; errors (t, sid, error, input), trace (id, src, sid,
+        labels; of stages whose `trace` isn't off), log (t, sid, level, msg), stages (sid, tool,
+        rows_in, rows_out, errors, ms) and journal (sid, rows_out, errors, state).  Leaves run once
+        and are read back from their files; stages between them are counted as they run.
+        """
+        began = time.time()
+        events: list[tuple[int, str, str, str]] = []
+        say = lambda sid, level, msg: events.append((int(time.time() * 1000), sid, level, msg))
+        say("", "info", f"run of {variant.pipeline}:{variant.name} begins, {len(variant.stages)} stages")
+        run = self.compile(variant, source)
+        took: dict[str, int] = {}
+        for name, df in run.leaves(variant).items():
+            at, now = f"{self.session}/data/{name}", time.time()
+            df.write.mode("overwrite").parquet(at)
+            run.data[name] = self.spark.read.schema(df.schema).parquet(at)
+            took[name] = int((time.time() - now) * 1000)
+            say(name, "info", f"written to {at}")
+        for x in run.gates.values():
+            x.settle()
+        errors = self._table("errors", [self._errors(sid, df) for sid, df in run.errors.items()], "t long, sid string, error string, input string")
+        off = {k for k, s in variant.stages.items() if s.get("trace") is False}
+        traces = [S.traced(df, sid) for sid, df in run.data.items() if trace and sid.split(".")[0] not in off]
+        found = self._table("trace", traces, "id string, src string, sid string, labels map<string,string>")
+        counts = {r["sid"]: r["n"] for r in errors.groupBy("sid").agg(F.count("*").alias("n")).collect()}  # a row for each stage
+        seen = {x["sid"]: x["rows_out"] for x in run.journal(wait=False)}
+        rows = []
+        for sid in run.data | dict.fromkeys(run.order):
+            stage = variant.stages[sid.split(".")[0]]
+            above = [seen.get(x) for x in inputs_of(stage)]
+            rows_in = sum(above) if above and None not in above else None
+            rows.append((sid, stage["tool"], rows_in, seen.get(sid), counts.get(sid, 0), took.get(sid)))
+            if counts.get(sid):
+                say(sid, "error", f"{counts[sid]} rows rejected")
+        self._table("stages", [self.spark.createDataFrame(rows, "sid string, tool string, rows_in long, rows_out long, errors long, ms long")], "")
+        if trace:
+            state = F.when(F.col("errors") > 0, "failed").otherwise("ok").alias("state")
+            self._table("journal", [S.journal(run.order, found, errors).select("sid", "rows_out", "errors", state)], "")
+        say("", "info", f"run ends after {int((time.time() - began) * 1000)} ms")
+        self._table("log", [self.spark.createDataFrame(events, "t long, sid string, level string, msg string")], "")
+        return run
+
+    def _table(self, name: str, parts: list[DataFrame], schema: str) -> DataFrame:
+        df = parts[0] if parts else self.spark.createDataFrame([], schema)
+        for x in parts[1:]:
+            df = df.unionByName(x)
+        df.write.mode("overwrite").parquet(f"{self.session}/{name}")
+        return self.session_table(name)
+
+    def session_table(self, name: str) -> DataFrame:
+        """A table that the last execute() has left: log, errors, trace, stages or journal."""
+        return self.spark.read.parquet(f"{self.session}/{name}")
+
+    @staticmethod
+    def _errors(sid: str, df: DataFrame) -> DataFrame:
+        text = next((x for x in ("_error", "error") if x in df.columns), None)
+        own = F.to_json(F.struct(*[F.col(quoted(x)) for x in df.columns if x != text]), {"ignoreNullFields": "false"})
+        return df.select(F.unix_millis(F.current_timestamp()).alias("t"), F.lit(sid).alias("sid"), (F.col(text) if text else F.lit("rejected")).alias("error"), own.alias("input"))
+
+    def _settings(self, stage: dict[str, Any]) -> dict[str, Any]:
+        """Those of the stage's settings_file, with the inline ones over them."""
+        own = stage.get("settings") or {}
+        if stage.get("settings_file"):
+            with open(with_prefixes(stage["settings_file"], self.prefixes), encoding="utf-8") as file:
+                own = deep_merge(filled(json.load(file), self.environ), own)
+        return with_prefixes(own, self.prefixes)
+
     def _stage(self, run: Run, name: str, stage: dict[str, Any], df: DataFrame) -> None:
         tool, settings, policy = stage["tool"], stage["settings"], stage.get("on_error") or "drop"
         if tool == "route":
@@ -71,7 +145,10 @@ class Runner:
                 run.data[f"{name}.{channel}"] = self._seen(run, f"{name}.{channel}", rows)
             return
         own = self.tools.get(tool) or getattr(self, "_" + tool.replace("-", "_"))
-        out = own(df, settings) if tool in self.tools else own(name, stage, settings, policy, df)
+        if tool in ("gate", "checkpoint") and tool not in self.tools:
+            out = own(run, name, settings, df)
+        else:
+            out = own(df, settings) if tool in self.tools else own(name, stage, settings, policy, df)
         if isinstance(out, B.Outputs):
             for kind in ("meta", "trace", "errors"):
                 if getattr(out, kind) is not None:
@@ -109,20 +186,24 @@ class Runner:
         return B.toggle(df, settings.get("env"), settings.get("value"), settings.get("values"), settings.get("mode", "on"), self.environ)
 
     def _normalize(self, name, stage, settings, policy, df):
-        found = normalize(df, settings.get("rules"), settings.get("profiles"), settings.get("rulebook"), settings.get("on_unmatched", "passthrough"))
+        found = normalize(df, settings.get("rules"), settings.get("profiles"), settings.get("rulebook"), settings.get("on_unmatched", "passthrough"), settings.get("folder", "."))
         return B.Outputs(found.data, trace=found.trace, errors=found.errors)
 
-    def _gate(self, name, stage, settings, policy, df):
-        return B.gate(df, settings.get("name", name), f"{self.session}/gates/{settings.get('name', name)}", settings.get("expect_count"), name)
+    def _gate(self, run, name, settings, df):
+        """Its state is written by a checkpoint that waits for it, or at the end of execute(), or by settle()."""
+        own = settings.get("name", name)
+        run.gates[own] = B.Gate(df, own, f"{self.session}/gates/{own}", name)
+        return run.gates[own].data
 
-    def _checkpoint(self, name, stage, settings, policy, df):
-        return B.checkpoint(df, f"{self.session}/spool", [f"{self.session}/gates/{x}" for x in settings.get("wait_for_gates") or []])
+    def _checkpoint(self, run, name, settings, df):
+        wanted = settings.get("wait_for_gates") or []
+        return B.checkpoint(df, f"{self.session}/spool", [f"{self.session}/gates/{x}" for x in wanted], [run.gates[x] for x in wanted if x in run.gates])
 
     def _write_file_stream(self, name, stage, settings, policy, df):
         return writers.write_stream(df, settings.get("base", f"{self.session}/{name}"), settings.get("format", "ndjson"), settings.get("default_file", "out"), settings.get("write_mode", "append"), settings.get("csv_columns") or (), pass_through=settings.get("pass_through", False))
 
     def _write_file_stream_hashed(self, name, stage, settings, policy, df):
-        bad = writers.write_hashed(df, settings.get("base", f"{self.session}/{name}"), settings.get("format", "ndjson"), settings.get("default_file", "out"), settings.get("hash_field"), csv_columns=settings.get("csv_columns") or ())
+        bad = writers.write_hashed(df, settings.get("base", f"{self.session}/{name}"), settings.get("format", "ndjson"), settings.get("default_file", "out"), settings.get("hash_field"), csv_columns=settings.get("csv_columns") or (), sidecar=settings.get("sidecar", True))
         return B.Outputs(None, errors=bad)
 
     def _read_file_stream(self, name, stage, settings, policy, df):
@@ -137,6 +218,8 @@ class Runner:
             found = readers.read_lines(self.spark, paths, **kw)
         else:
             found = readers.read_ndjson(self.spark, paths, settings.get("schema"), **kw)
+        if settings.get("passthrough_input"):
+            found = readers.with_input(found, df)
         return B.Outputs(found.rows, meta=found.meta, errors=found.errors)
 
     def _scan_fs(self, name, stage, settings, policy, df):

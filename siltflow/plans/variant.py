@@ -98,7 +98,7 @@ def interpolate(text: str, environ: Mapping[str, str]) -> str:
             if depth:
                 raise VariantError(f"unclosed ${{ in {text!r}")
             name, sep, default = text[at + 2 : end - 1].partition(":-")
-            if environ.get(name):
+            if name in environ:  # empty too
                 out.append(environ[name])
             elif sep:
                 out.append(interpolate(default, environ))
@@ -160,8 +160,8 @@ def order(stages: Mapping[str, Mapping[str, Any]]) -> list[str]:
     return out
 
 
-def validate(variant: Variant, tools: Mapping[str, Any] = (), environ: Mapping[str, str] | None = None) -> list[str]:
-    """All that is wrong with a variant."""
+def validate(variant: Variant, tools: Mapping[str, Any] = (), environ: Mapping[str, str] | None = None, prefixes: Mapping[str, str] | None = None) -> list[str]:
+    """All that is wrong with a variant; files that it names have to be there."""
     environ = os.environ if environ is None else environ
     errors: list[str] = []
     uses: dict[str, int] = {}
@@ -206,12 +206,19 @@ def validate(variant: Variant, tools: Mapping[str, Any] = (), environ: Mapping[s
                 parse(filled(text, environ))
             except (ExpressionError, VariantError) as e:
                 say(str(e))
-        if path := stage.get("settings_file"):
+        for x in stage.get("env") or []:
+            if x not in environ:
+                say(f"environment variable {x} isn't set")
+        settings = stage.get("settings") or {}
+        for what, path in (("settings_file", stage.get("settings_file")), ("rulebook", settings.get("rulebook") if tool == "normalize" else None)):
+            if not path:
+                continue
             try:
-                with open(path, encoding="utf-8") as file:
-                    json.load(file)
+                with open(with_prefixes(filled(path, environ), prefixes or {}), encoding="utf-8") as file:
+                    if what == "settings_file" and not isinstance(json.load(file), dict):
+                        say(f"{what}: not an object")
             except (OSError, ValueError) as e:
-                say(f"settings_file: {e}")
+                say(f"{what}: {e}")
     for source, n in uses.items():
         if n > 1 and variant.stages[source].get("tool") not in ("route", "spread"):
             errors.append(f"{source}: {n} consumers; put a spread between")

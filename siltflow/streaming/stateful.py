@@ -31,7 +31,7 @@ def dedup(df: DataFrame, key: Sequence[str], event_time: str | None = None, dela
 
 
 def group_by(df: DataFrame, key: Sequence[str] | str, label: str, value: str, expected: Sequence[str] | None = None, count_threshold: int | None = None, idle_ms: int | None = None) -> DataFrame:
-    """group_by on a stream: _group_key, _partial, labels and values (two lists).  A stream has no end: with idle_ms, what a key holds is emitted as partial after so long without a row."""
+    """group_by on a stream: _group_key, _partial, labels and values (two lists).  A stream has no end: with idle_ms, what a key holds is emitted as partial after so long without a row; after an availableNow run, partial_groups() gives what is left."""
     paths = [key] if isinstance(key, str) else list(key)
     val, kind = resolve(tuple(value.removeprefix("v.").split(".")), df.schema)
     order = F.col("_ord") if "_ord" in df.columns else F.lit(0)
@@ -66,6 +66,15 @@ def group_by(df: DataFrame, key: Sequence[str] | str, label: str, value: str, ex
     return rows.groupBy("_group_key").applyInPandasWithState(step, f"_group_key string, _partial boolean, labels array<string>, values array<{of}>", f"labels array<string>, values array<{of}>", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
+def partial_groups(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What the groups of an ended group_by stream still hold, as its output with _partial true: the flush at the end of a finite input.
+
+    Read from the state that the query left in its checkpoint folder; the state itself stays.
+    """
+    state = spark.read.format("statestore").load(checkpoint).select("key._group_key", "value.groupState.*")
+    return state.select("_group_key", F.lit(True).alias("_partial"), "labels", "values")
+
+
 def running_counts(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """The gate's and the number accumulator's state by key; output mode update or complete."""
     return df.groupBy(*key).agg(F.count("*").alias("count"))

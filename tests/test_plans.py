@@ -27,7 +27,8 @@ def test_inheritance(tmp_path):
 def test_interpolation():
     env = {"A": "1", "B": ""}
     assert interpolate("x${A}y", env) == "x1y"
-    assert interpolate("${B:-d${A}}", env) == "d1" and interpolate("${C:-${B:-z}}", env) == "z"
+    assert interpolate("${C:-d${A}}", env) == "d1" and interpolate("${C:-${D:-z}}", env) == "z"
+    assert interpolate("${B:-d}", env) == "" and interpolate("<${B}>", env) == "<>"  # set, if to nothing
     assert interpolate("\\${A}", env) == "${A}"
     for bad in ("${C}", "${A"):
         with pytest.raises(VariantError):
@@ -84,3 +85,38 @@ def test_read_and_scan_tools(spark, tmp_path):
     assert [r.row.x for r in run.data["keep"].collect()] == [5] and run.errors["read"].count() == 1
     scan = Runner(spark, str(tmp_path)).compile(Variant("v", "p", {"s": {"tool": "scan-fs"}}), spark.createDataFrame([(str(tmp_path / "in"),)], "path string"))
     assert [r.filename for r in scan.data["s"].collect()] == ["a"]
+
+
+def test_settings_file_and_passthrough(spark, tmp_path):
+    (tmp_path / "a.ndjson").write_text('{"x":1}\n{"x":5}\n')
+    (tmp_path / "conf.json").write_text(json.dumps({"format": "ndjson", "schema": "x long", "skip": 1, "limit": "${N:-7}"}))
+    seed = spark.createDataFrame([(str(tmp_path / "a.ndjson"), "north")], "path string, region string")
+    stages = {"read": {"tool": "read-file-stream", "settings_file": "$here/conf.json", "settings": {"limit": 3, "passthrough_input": True}}}
+    runner = Runner(spark, str(tmp_path / "s"), environ={}, prefixes={"here": str(tmp_path)})
+    assert [(r.row.x, r.region) for r in runner.compile(Variant("v", "p", stages), seed).data["read"].collect()] == [(5, "north")]
+    stages["read"]["settings_file"] = "$here/none.json"
+    stages["read"]["env"] = ["NEEDED"]
+    text = "; ".join(validate(Variant("v", "p", stages), environ={}, prefixes={"here": str(tmp_path)}))
+    assert "settings_file" in text and "NEEDED" in text
+    missing = {"n": {"tool": "normalize", "settings": {"rulebook": str(tmp_path / "nope.json")}}}
+    assert "rulebook" in "; ".join(validate(Variant("v", "p", missing), environ={}))
+
+
+def test_session(spark, tmp_path):
+    stages = {
+        "clean": {"tool": "normalize", "settings": {"rules": [{"op": "parse_number", "path": "v.n", "on_error": "error"}]}},
+        "big": {"tool": "filter", "input": "clean", "expression": "v.n > 1", "trace": False},
+    }
+    df = spark.createDataFrame([(0, "a", "f:1", "1"), (1, "b", "f:2", "20"), (2, "c", "f:3", "bad")], "_ord long, _id string, _src string, n string")
+    runner = Runner(spark, str(tmp_path / "s"), environ={})
+    run = runner.execute(Variant("v", "p", stages), df)
+    table = runner.session_table
+    assert [r._id for r in run.data["big"].collect()] == ["b"]
+    assert {(r.sid, r.rows_in, r.rows_out, r.errors) for r in table("stages").collect()} == {("clean", None, 2, 1), ("big", 2, 1, 0)}
+    assert {(r.id, r.sid) for r in table("trace").collect()} == {("a", "clean"), ("b", "clean")}  # not of a stage whose trace is off
+    assert [(r.sid, json.loads(r.input)["_id"]) for r in table("errors").collect()] == [("clean", "c")]
+    assert {(r.sid, r.rows_out, r.errors, r.state) for r in table("journal").collect()} == {("clean", 2, 1, "failed"), ("big", 0, 0, "ok")}
+    from siltflow.operators import sessions as S
+
+    assert [r.sid for r in S.log(table("log"), table("errors"), search="cannot convert").collect()] == ["clean"]
+    assert {(r.step, r["at"]) for r in S.provenance(table("trace"), spark.createDataFrame([("a",)], "id string")).collect()} == {(0, "a"), (1, "f:1")}

@@ -1,6 +1,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from siltflow.functions.sdk import run_tool
@@ -27,6 +28,16 @@ def test_sdk(spark):
     assert sorted((r._id, json.loads(r.v)["w"]) for r in out.data.collect()) == [("1", "A!"), ("1", "B!"), ("3", "C!")]
     assert out.meta.count() == 2 and out.trace.count() == 2
     assert "ValueError: boom" in out.errors.first().v
+    runs = spark.sparkContext.accumulator(0)
+
+    class Counted:
+        def process_input(self, v, settings, ctx):
+            runs.add(1)
+            ctx.output(v)
+            ctx.meta(v)
+
+    once = run_tool(df, Counted(), once=True)
+    assert once.data.count() == once.meta.count() == 3 and once.errors.count() == 0 and runs.value == 3
 
 
 def test_log_and_journal(spark):
@@ -43,6 +54,13 @@ def test_log_and_journal(spark):
     trace = spark.createDataFrame([("c", "b"), ("b", "a")], "id string, src string")
     walk = S.provenance(trace, spark.createDataFrame([("c",)], "id string"))
     assert {(r.step, r["at"]) for r in walk.collect()} == {(0, "c"), (1, "b"), (2, "a")}
+    circle = spark.createDataFrame([("c", "b"), ("b", "a"), ("a", "b"), ("a", "x")], "id string, src string")
+    walk = S.provenance(circle, spark.createDataFrame([("c",)], "id string"))
+    assert sorted((r.step, r["at"]) for r in walk.collect()) == [(0, "c"), (1, "b"), (2, "a"), (3, "x")]
+    chain = spark.createDataFrame([(str(k), str(k + 1)) for k in range(5)], "id string, src string")
+    with pytest.raises(RuntimeError):
+        S.provenance(chain, spark.createDataFrame([("0",)], "id string"), most_steps=4)
+    assert S.provenance(chain, spark.createDataFrame([("0",)], "id string"), most_steps=5).count() == 6
 
 
 def test_snapshots(spark):
@@ -68,6 +86,8 @@ def test_streams(spark, tmp_path):
     keep = lambda df, _: got.extend(df.collect())
     stateful.run_available(stateful.group_by(stream, "g", "l", "x", expected=["A", "B"]), keep, str(tmp_path / "c1"))
     assert [(r._group_key, r._partial, dict(zip(r.labels, r["values"]))) for r in got] == [("d", False, {"A": 2, "B": 4})]
+    left = stateful.partial_groups(spark, str(tmp_path / "c1")).collect()
+    assert [(r._group_key, r._partial, dict(zip(r.labels, r["values"]))) for r in left] == [("e", True, {"A": 5})]
     got.clear()
     stateful.run_available(stateful.dedup(stream, ["g", "l"]), keep, str(tmp_path / "c2"))
     assert sorted((r.g, r.l) for r in got) == [("d", "A"), ("d", "B"), ("e", "A")]
