@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltflow.functions.normalize import normalize
+from siltflow.functions.sdk import run_tool
 from siltflow.operators import accumulators as A
 from siltflow.operators import builtins as B
+from siltflow.operators import scratch
 from siltflow.operators import sessions as S
+from siltflow.sources import readers as R
+from siltflow.sources import writers as W
+from siltflow.streaming import stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,6 +65,28 @@ def filter_patterns(spark, sf):
     return B.filter_rows(_t(spark, sf, "documents"), "matches(lower(v.text), '^the') || endsWith(v.lang, 'R')").select("doc_id", "lang")
 
 
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_type), 'eco') OR contains(lower(p_type), 'promo')")
+def filter_contains(spark, sf):
+    return B.filter_rows(_t(spark, sf, "part"), "contains(v.p_type, ['eco', 'PROMO'])").select("p_partkey")
+
+
+@query("SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) || CASE WHEN c_custkey % 4 = 3 THEN 'inc' ELSE '' END AS company FROM customer")
+def company_names(spark, sf):
+    ending = F.element_at(F.array(F.lit(", Inc"), F.lit(" Ltd"), F.lit(" GMBH"), F.lit("Inc")), (F.col("c_custkey") % 4 + 1).cast("int"))
+    df = _t(spark, sf, "customer").select("c_custkey", F.concat("c_name", ending).alias("name"))
+    return normalize(df, [{"op": "compute", "expression": "normalize(v.name)", "target": "v.company"}]).data.select("c_custkey", "company")
+
+
+@query("SELECT n_nationkey, 2 AS n, true AS same FROM nation WHERE n_regionkey < 3")
+def object_lengths(spark, sf):
+    """length and == of objects: a field of null is there."""
+    one = F.struct(F.col("n_name").alias("a"), F.lit(None).cast("string").alias("b"))
+    df = _t(spark, sf, "nation").select("n_nationkey", "n_regionkey", one.alias("o"), one.alias("p"))
+    kept = B.filter_rows(df, "length(v.o) == 2 && v.o == v.p && v.n_regionkey < 3")
+    made = normalize(kept, [{"op": "compute", "expression": "length(v.o)", "target": "v.n"}, {"op": "compute", "expression": "v.o == v.p", "target": "v.same"}]).data
+    return made.select("n_nationkey", F.col("n").cast("int").alias("n"), "same")
+
+
 # ---- route, fan-in, spread, toggle, replicas
 
 _ROUTES = {"urgent": "v.o_orderpriority == '1-URGENT' && v.o_totalprice > 1000", "open": "v.o_orderstatus == 'O'", "large": "v.o_totalprice > 100000"}
@@ -124,11 +151,19 @@ def dedup_traced(spark, sf):
 
 @query("SELECT o_custkey FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) - INTERVAL 365 DAY FROM orders) EXCEPT SELECT o_custkey FROM orders WHERE o_orderdate < (SELECT max(o_orderdate) - INTERVAL 365 DAY FROM orders)")
 def dedup_seen_keys(spark, sf):
+    """Two runs of dedup over one index of keys: the second passes what the first has not seen."""
     orders = _t(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
     cut = orders.agg((F.max("o_orderdate") - F.expr("INTERVAL 365 DAYS")).alias("cut"))
     marked = orders.join(F.broadcast(cut))  # one row
-    seen = marked.where("o_orderdate < cut").select("o_custkey").distinct()
-    return B.dedup(marked.where("o_orderdate >= cut").join(seen, "o_custkey", "left_anti"), ["o_custkey"], ["o_orderkey"]).data.select("o_custkey")
+    index = scratch.path(spark, "seen-keys")
+    B.dedup(marked.where("o_orderdate < cut"), ["o_custkey"], ["o_orderkey"], index=index)
+    return B.dedup(marked.where("o_orderdate >= cut"), ["o_custkey"], ["o_orderkey"], index=index).data.select("o_custkey")
+
+
+@query("SELECT DISTINCT n FROM (SELECT c_nationkey AS n FROM customer UNION ALL SELECT s_nationkey FROM supplier)")
+def union_distinct(spark, sf):
+    both = B.fan_in([_t(spark, sf, "customer").select(F.col("c_nationkey").alias("n"), F.col("c_custkey").alias("_ord")), _t(spark, sf, "supplier").select(F.col("s_nationkey").alias("n"), F.col("s_suppkey").alias("_ord"))])
+    return B.dedup(both, ["v.n"], ["_input", "_ord"]).data.select("n")
 
 
 # ---- group-by
@@ -151,10 +186,17 @@ def group_by_again(spark, sf):
     return out.select("_group_key", F.col("_seq").cast("long").alias("_seq"), F.col("labels")["view"].alias("event_id"))
 
 
-@query()
+@query("""
+    WITH RECURSIVE e AS (SELECT user_id, event_type AS l, event_id AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    s(user_id, n, seq, now, done) AS (
+        SELECT DISTINCT user_id, 0::BIGINT, -1::BIGINT, CAST([] AS STRUCT(l VARCHAR, x BIGINT)[]), CAST(NULL AS STRUCT(l VARCHAR, x BIGINT)[]) FROM e
+        UNION ALL
+        SELECT user_id, n, seq + (len(t) >= 3)::BIGINT, CASE WHEN len(t) >= 3 THEN CAST([] AS STRUCT(l VARCHAR, x BIGINT)[]) ELSE t END, CASE WHEN len(t) >= 3 THEN t END
+        FROM (SELECT e.user_id, e.n, s.seq, list_append(list_filter(s.now, lambda p: p.l <> e.l), {'l': e.l, 'x': e.x}) AS t FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1))
+    SELECT user_id::VARCHAR AS _group_key, seq AS _seq, '{' || array_to_string(list_transform(done, lambda p: '"' || p.l || '":' || p.x::VARCHAR), ',') || '}' AS labels FROM s WHERE done IS NOT NULL""")
 def group_by_threshold(spark, sf):
     out = B.group_by(_t(spark, sf, "events"), "user_id", "event_type", "event_id", count_threshold=3, order=["event_id"])
-    return out.select("_group_key", "_seq", F.to_json("labels").alias("labels"))
+    return out.select("_group_key", F.col("_seq").cast("long").alias("_seq"), F.to_json("labels").alias("labels"))
 
 
 # ---- normalize
@@ -225,10 +267,37 @@ def compute_events(spark, sf):
     return normalize(df, [{"op": "compute", "expression": "v.value > 50 && v.event_type == 'view'", "target": "v.hit", "on_error": "drop"}, {"op": "add_field", "field": "version", "value": "v1"}, {"op": "drop_fields", "fields": ["value", "event_type"]}]).data
 
 
+@query("SELECT o_orderkey, o_orderkey % 10000 + 0.5 AS amount, '€' AS currency FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT o_orderkey, -(o_orderkey % 10000 + 0.5), '$' FROM orders WHERE o_orderkey % 7 = 0")
+def split_amounts(spark, sf):
+    number = F.concat((F.col("o_orderkey") % 10000).cast("string"), F.lit(",50"))
+    text = F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("($"), number, F.lit(")"))).otherwise(F.concat(number, F.lit(" €")))
+    return normalize(_t(spark, sf, "orders").select("o_orderkey", text.alias("price")), [{"op": "split_amount_currency", "path": "v.price", "target_amount": "amount", "target_currency": "currency", "decimal": ","}]).data.select("o_orderkey", "amount", "currency")
+
+
+@query("SELECT p_partkey AS p_partkey_x, p_name || ' ' || p_brand AS spaced_x, lower(p_brand) AS low_x, nfc_normalize('é' || p_name) AS marked_x, [upper(p_name), upper(p_type)] AS many_x FROM part")
+def normalize_texts(spark, sf):
+    """Blanks, Unicode forms, all elements of an array, and suffixes of keys."""
+    df = _t(spark, sf, "part").select("p_partkey", F.concat(F.col("p_name"), F.lit(" \t  "), F.col("p_brand")).alias("spaced"), F.col("p_brand").alias("low"), F.concat(F.lit("e\u0301"), F.col("p_name")).alias("marked"), F.array("p_name", "p_type").alias("many"))
+    return normalize(df, [
+        {"op": "collapse_whitespace", "path": "v.spaced"}, {"op": "case", "path": "v.low", "to": "lower"}, {"op": "normalize_unicode", "path": "v.marked"},
+        {"op": "case", "path": "v.many", "to": "upper"}, {"op": "suffix_keys", "value": "_x"},
+    ]).data
+
+
+@query("SELECT p_partkey, 1 AS one, 2 AS two, 3 AS three, p_size::VARCHAR AS single, '[' || p_size || ',7]' AS several FROM part")
+def to_object_kinds(spark, sf):
+    """Suffixes for repeated keys, and several values of a key as an array beside single ones."""
+    df = _t(spark, sf, "part").select("p_partkey", F.array(F.lit("a"), F.lit("a"), F.lit("b")).alias("k"), F.array(*map(F.lit, (1, 2, 3))).alias("x"), F.array(F.lit("s"), F.lit("m"), F.lit("m")).alias("l"), F.array("p_size", "p_size", F.lit(7)).alias("y"))
+    made = normalize(df, [{"op": "to_object", "keys": "v.k", "values": "v.x", "target": "v.m", "on_duplicate": "suffix"}, {"op": "to_object", "keys": "v.l", "values": "v.y", "target": "v.n", "on_duplicate": "array"}]).data
+    at = lambda m, k: F.try_element_at(m, F.lit(k))
+    return made.select("p_partkey", at("m", "a_1").alias("one"), at("m", "a_2").alias("two"), at("m", "b").alias("three"), F.to_json(at("n", "s")).alias("single"), F.to_json(at("n", "m")).alias("several"))
+
+
 @query("SELECT o_custkey, round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 2) AS o, round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 2) AS f FROM orders GROUP BY 1")
 def to_object_orders(spark, sf):
     # sums of doubles depend on their order: whole cents are compared
-    df = _t(spark, sf, "orders").orderBy("o_orderkey").groupBy("o_custkey").agg(F.collect_list("o_orderstatus").alias("k"), F.collect_list("o_totalprice").alias("x"))
+    held = F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_totalprice")))
+    df = _t(spark, sf, "orders").groupBy("o_custkey").agg(held.alias("h")).select("o_custkey", F.col("h.o_orderstatus").alias("k"), F.col("h.o_totalprice").alias("x"))
     made = normalize(df, [{"op": "to_object", "keys": "v.k", "values": "v.x", "target": "v.m", "on_duplicate": "sum"}]).data
     return made.select("o_custkey", F.round(F.try_element_at("m", F.lit("O")), 2).alias("o"), F.round(F.try_element_at("m", F.lit("F")), 2).alias("f"))
 
@@ -252,13 +321,163 @@ def json_paths(spark, sf):
     return B.filter_rows(df, "v.p.k >= 50").select("event_id", F.col("p.k").alias("k"))
 
 
-# ---- reader limits, accumulators, sessions
+# ---- readers, writers, barriers, scans
 
 
-@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) BETWEEN 3 AND 7")
+def _text_file(df: DataFrame, name: str) -> str:
+    """One text file with the lines of df, which has to be small, in its order; its path."""
+    at = scratch.path(df.sparkSession, name)
+    df.coalesce(1).write.text(at)
+    return f"{at}/part-*.txt"
+
+
+@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_idx, c_name AS line FROM customer QUALIFY row_idx BETWEEN 10 AND 109")
 def read_skip_limit(spark, sf):
-    ranked = _t(spark, sf, "events").withColumn("_n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
-    return ranked.where("_n BETWEEN 3 AND 7").select("user_id", "event_id")
+    at = _text_file(_t(spark, sf, "customer").orderBy("c_custkey").select("c_name"), "lines")
+    return R.read_lines(spark, at, skip=10, limit=100).rows.select("row_idx", F.col("row").alias("line"))
+
+
+@query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row_idx, p_partkey::VARCHAR AS k, p_name || ', \"' || p_brand || '\"' AS name, p_type AS col_2 FROM part")
+def read_csv_part(spark, sf):
+    """Quoted cells, and a last cell beyond the header."""
+    name = F.concat(F.col("p_name"), F.lit(', ""'), F.col("p_brand"), F.lit('""'))
+    body = _t(spark, sf, "part").select("p_partkey", F.concat(F.col("p_partkey"), F.lit(',"'), name, F.lit('",'), F.col("p_type")).alias("value"))
+    lines = body.union(spark.createDataFrame([(-1, "k,name")], "p_partkey long, value string")).orderBy("p_partkey").select("value")
+    read = R.read_csv(spark, _text_file(lines, "csv"))
+    return read.rows.select("row_idx", *[F.col("row")[x].alias(x) for x in ("k", "name", "col_2")])
+
+
+@query("SELECT event_id, user_id, event_type FROM events WHERE user_id % 2 = 0")
+def write_read_ndjson(spark, sf):
+    """Events written to two targets, and one of them read back."""
+    base = scratch.path(spark, "ndjson")
+    df = _t(spark, sf, "events").select("event_id", "user_id", "event_type", F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("file"), F.col("event_id").alias("_ord"))
+    W.write_stream(df, base)
+    return R.read_ndjson(spark, f"{base}/file=even", "event_id long, user_id long, event_type string").rows.select("row.*")
+
+
+@query("SELECT event_type AS file, count(*) AS rows, 'lines' AS format FROM events GROUP BY 1")
+def reader_meta(spark, sf):
+    base = scratch.path(spark, "targets")
+    W.write_stream(_t(spark, sf, "events").select(F.col("event_id").cast("string").alias("row"), F.col("event_type").alias("file"), F.col("event_id").alias("_ord")), base, "lines")
+    meta = R.read_lines(spark, f"{base}/file=*").meta
+    return meta.groupBy(F.regexp_extract("file", "file=([^/]+)", 1).alias("file"), "format").agg(F.sum("rows").alias("rows"))
+
+
+@query("SELECT n_nationkey AS line_no, 'invalid JSON' AS error FROM nation WHERE n_nationkey % 5 = 3")
+def reader_errors(spark, sf):
+    """Bad lines beside good and empty ones; lines count as they stand in the file."""
+    k = F.col("n_nationkey")
+    text = F.when(k % 5 == 3, F.concat(F.lit("{"), F.col("n_name"))).when(k % 5 == 4, "").otherwise(F.to_json(F.struct("n_name")))
+    at = _text_file(_t(spark, sf, "nation").orderBy("n_nationkey").select(text), "bad-lines")
+    return R.read_ndjson(spark, at).errors.select(F.col("line_no").cast("int").alias("line_no"), "error")
+
+
+@query("SELECT DISTINCT o_custkey AS k FROM orders")
+def write_hashed_twice(spark, sf):
+    """Two runs over overlapping records leave each record once."""
+    base = scratch.path(spark, "hashed")
+    orders = _t(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("_ord"))
+    W.write_hashed(orders.where("_ord % 3 <> 0"), base)
+    W.write_hashed(orders.where("_ord % 3 <> 1"), base)
+    return W.target_lines(spark, base).select(F.get_json_object("value", "$.k").cast("long").alias("k"))
+
+
+@query("SELECT 'g' AS name, count(*) AS count, max(event_id)::VARCHAR AS last_id, true AS predicate_met, 'gate' AS stage_id FROM events")
+def gate_state(spark, sf):
+    at = scratch.path(spark, "gate")
+    own = B.Gate(_t(spark, sf, "events").select(F.col("event_id").cast("string").alias("_id"), F.col("event_id").alias("_ord")), "g", at)
+    own.data.agg(F.sum("_ord")).collect()  # an action that the rows pass, and one row
+    own.settle()
+    return spark.read.json(at).select("name", "count", "last_id", "predicate_met", "stage_id")
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def checkpoint_gated(spark, sf):
+    orders, at = _t(spark, sf, "orders").select("o_orderstatus", F.col("o_orderkey").alias("_ord")), scratch.path(spark, "gate")
+    passed = B.Gate(orders, "g", at)
+    return B.checkpoint(passed.data, scratch.path(spark, "spool"), [at], [passed]).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query("SELECT r_regionkey::VARCHAR AS target, octet_length(encode(r_name)) + 1 AS size, 'txt' AS ext, 'file' AS kind FROM region")
+def scan_files(spark, sf):
+    base = scratch.path(spark, "scanned")
+    W.write_stream(_t(spark, sf, "region").select(F.col("r_name").alias("row"), F.col("r_regionkey").cast("string").alias("file")), base, "lines")
+    found = R.scan_fs(spark, base.removeprefix("file://"), include="**/*.txt")
+    return found.select(F.regexp_extract("directory", "file=([^/]+)$", 1).alias("target"), "size", "ext", "kind")
+
+
+@query("SELECT CASE WHEN n_nationkey % 4 = 0 THEN 'removed' ELSE 'modified' END AS action, n_name AS filename, CASE WHEN n_nationkey % 4 = 0 THEN n_nationkey ELSE n_nationkey + 1 END::BIGINT AS size FROM nation WHERE n_nationkey % 4 IN (0, 1)")
+def scan_changes(spark, sf):
+    size = F.col("n_nationkey").cast("long")
+    scan = lambda df, size: df.select(F.lit("file").alias("kind"), F.lit("/r").alias("root"), F.lit("/r").alias("directory"), F.col("n_name").alias("filename"), F.lit("").alias("ext"), size.alias("size"), F.lit(0.0).alias("created"), F.lit(0.0).alias("changed"), F.lit(None).cast("string").alias("hash"))
+    nation = _t(spark, sf, "nation")
+    now = scan(nation.where("n_nationkey % 4 <> 0"), F.when(F.col("n_nationkey") % 4 == 1, size + 1).otherwise(size))
+    return R.scan_diff(scan(nation, size), now).select("action", "filename", "size")
+
+
+# ---- user tools, streams
+
+
+class _Words:
+    """Sends each word of a part's name through a queue; rejects large parts."""
+
+    def process_input(self, v, settings, ctx):
+        if v["p_size"] > settings["most"]:
+            raise ValueError("too large")
+        for x in v["p_name"].split(" "):
+            ctx.emit("word", {"k": v["p_partkey"], "w": x})
+
+    def process_word(self, v, settings, ctx):
+        ctx.output({"k": v["k"], "w": ctx.cached("up", v["w"], lambda: v["w"].upper())})
+
+
+_WORDS_SQL = "SELECT p_partkey AS k, upper(w) AS w FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_size <= 25)"
+
+
+@query(f"{_WORDS_SQL} UNION ALL SELECT p_partkey, 'ValueError: too large' FROM part WHERE p_size > 25")
+def tool_words(spark, sf):
+    out = run_tool(_t(spark, sf, "part").select("p_partkey", "p_name", "p_size"), _Words(), {"most": 25}, once=True)
+    one = out.data.select(F.from_json("v", "k long, w string").alias("x")).select("x.*")
+    bad = out.errors.select(F.from_json("v", "input string, error string").alias("e")).select(F.get_json_object("e.input", "$.p_partkey").cast("long").alias("k"), F.col("e.error").alias("w"))
+    return one.unionByName(bad)
+
+
+def _stream(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df as a stream of one batch."""
+    at = scratch.path(spark, "stream")
+    df.write.parquet(at)
+    return spark.readStream.schema(df.schema).parquet(at)
+
+
+def _streamed(df: DataFrame, mode: str = "append") -> tuple[DataFrame, str]:
+    """What a stream gives until its input ends, and its checkpoint folder."""
+    spark, at, kept = df.sparkSession, scratch.path(df.sparkSession, "stream-out"), scratch.path(df.sparkSession, "stream-state")
+    stateful.run_available(df, lambda rows, k: rows.write.mode("overwrite").parquet(f"{at}/batch={k}"), kept, mode)
+    return spark.read.schema(df.schema).parquet(f"{at}/batch=*"), kept
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedup(spark, sf):
+    events = _stream(spark, _t(spark, sf, "events").select("user_id", "event_type", "event_id"))
+    return _streamed(stateful.dedup(events, ["v.user_id", "v.event_type"]).select("user_id", "event_type"))[0]
+
+
+@query("SELECT user_id::VARCHAR AS _group_key, event_id AS view, false AS _partial FROM events WHERE event_type = 'view' UNION ALL SELECT user_id::VARCHAR, max(event_id), true FROM events WHERE event_type = 'click' GROUP BY user_id")
+def stream_group_by(spark, sf):
+    """Full groups as they fill, and the partial ones that the stream still holds at its end."""
+    events = _t(spark, sf, "events").where("event_type IN ('view', 'click')").select(F.concat(F.col("user_id").cast("string"), F.lit("/"), F.col("event_type")).alias("k"), "event_type", "event_id", F.col("event_id").alias("_ord"))
+    full, state = _streamed(stateful.group_by(_stream(spark, events), "v.k", "v.event_type", "v.event_id", expected=["view"]))
+    rows = full.unionByName(stateful.partial_groups(spark, state))
+    return rows.select(F.split_part("_group_key", F.lit("/"), F.lit(1)).alias("_group_key"), F.get("values", F.lit(0)).alias("view"), "_partial")
+
+
+@query("SELECT user_id, count(*) AS count FROM events GROUP BY 1")
+def stream_counts(spark, sf):
+    return _streamed(stateful.running_counts(_stream(spark, _t(spark, sf, "events").select("user_id", "event_id")), ["user_id"]), "complete")[0]
+
+
+# ---- accumulators, sessions
 
 
 @query("SELECT user_id, sum(event_id)::BIGINT AS number, round(coalesce(avg(value), 0.0), 6) AS average, min(value) AS low, max(value) AS high, count(value) AS n, count(DISTINCT event_type) AS kinds, bool_or(event_type = 'view') AS view, bool_or(event_type = 'purchase') AS purchase, arg_max(event_id % 2 = 0, event_id) AS flag, count(*) % 2 = 1 AS toggled FROM events GROUP BY 1")
@@ -275,6 +494,36 @@ def buffer_running(spark, sf):
     return _t(spark, sf, "events").select("event_id", F.get(held, F.lit(0)).alias("oldest"))
 
 
+@query("SELECT o_custkey, arg_max(o_totalprice, o_orderkey) FILTER (WHERE o_orderstatus = 'O') AS o, arg_max(o_totalprice, o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS f FROM orders GROUP BY 1")
+def accumulator_map(spark, sf):
+    held = A.map_of(F.col("o_orderstatus"), F.col("o_totalprice"), F.col("o_orderkey"))
+    out = _t(spark, sf, "orders").groupBy("o_custkey").agg(held.alias("m"))
+    return out.select("o_custkey", F.try_element_at("m", F.lit("O")).alias("o"), F.try_element_at("m", F.lit("F")).alias("f"))
+
+
+@query("SELECT 'c' || c_custkey AS id, 0 AS step, 'c' || c_custkey AS at FROM customer UNION ALL SELECT 'c' || c_custkey, 1, 'n' || c_nationkey FROM customer UNION ALL SELECT 'c' || c_custkey, 2, 'r' || n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def provenance_walk(spark, sf):
+    """The records that each customer comes from; regions point at themselves in a circle of two."""
+    name = lambda letter, x: F.concat(F.lit(letter), F.col(x).cast("string"))
+    customer, nation = _t(spark, sf, "customer"), _t(spark, sf, "nation")
+    trace = customer.select(name("c", "c_custkey").alias("id"), name("n", "c_nationkey").alias("src")).union(nation.select(name("n", "n_nationkey"), name("r", "n_regionkey"))).union(_t(spark, sf, "region").select(name("r", "r_regionkey"), name("r", "r_regionkey")))
+    return S.provenance(trace, customer.select(name("c", "c_custkey").alias("id")))
+
+
+@query("SELECT o_orderkey::VARCHAR AS id, o_custkey::VARCHAR AS src, 'stage' AS sid, o_orderstatus AS status FROM orders")
+def trace_records(spark, sf):
+    df = _t(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("_id"), F.col("o_custkey").cast("string").alias("_src"), "o_orderstatus")
+    return S.traced(df, "stage", {"status": F.col("o_orderstatus")}).select("id", "src", "sid", F.col("labels")["status"].alias("status"))
+
+
+@query("""SELECT 'unexpected' AS side, '{"a":"<is_string>","k":"' || n_nationkey || '"}' AS record, 1::BIGINT AS n FROM nation WHERE n_nationkey > 20 UNION ALL SELECT 'missing', '{"a":"<is_string>","k":"<in_range>"}', count(*) FROM nation WHERE n_nationkey > 20""")
+def snapshot_matchers(spark, sf):
+    """Names match as any text and keys in a range; keys beyond it don't."""
+    nation = _t(spark, sf, "nation")
+    expected = nation.select(F.lit("any").alias("a"), F.least("n_nationkey", F.lit(20)).alias("k"))
+    return S.compare(expected, nation.select(F.col("n_name").alias("a"), F.col("n_nationkey").alias("k")), matchers={"a": "is_string", "k": ("in_range", 0, 20)})
+
+
 @query("SELECT event_id AS t, user_id::VARCHAR AS sid, event_type AS msg FROM events WHERE contains(event_type, 'click') ORDER BY t DESC LIMIT 50")
 def session_log(spark, sf):
     entries = _t(spark, sf, "events").select(F.col("event_id").alias("t"), F.col("user_id").cast("string").alias("sid"), F.col("event_type").alias("msg"))
@@ -308,5 +557,60 @@ def variant_dag(spark, sf):
         "end": {"tool": "normalize", "input": "all", "settings": {"rules": [{"op": "keep_fields", "fields": ["o_orderstatus", "o_orderkey"]}]}},
     }
     orders = _t(spark, sf, "orders").withColumn("_ord", F.col("o_orderkey"))
-    run = Runner(spark, "/tmp", environ={}).compile(Variant("v", "p", stages), orders)
+    run = Runner(spark, scratch.path(spark, "session"), environ={}).compile(Variant("v", "p", stages), orders)
     return run.data["end"].groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+def _session(spark: SparkSession, sf: str):
+    """A run of a variant that is loaded from files: a child that overrides its parent's expression and takes settings from a file."""
+    import json
+    import os
+    import tempfile
+
+    from siltflow.plans.runner import Runner
+    from siltflow.plans.variant import load_variant
+
+    folder = tempfile.mkdtemp(prefix="siltflow-variant-")  # of the driver, which alone reads variants
+    parent = {"variant": "base", "stages": {
+        "dear": {"tool": "filter", "expression": "v.o_totalprice > 10"},
+        "clean": {"tool": "normalize", "input": "dear", "settings_file": "$conf/rules.json"},
+        "by": {"tool": "route", "input": "clean", "routes": {"open": "v.o_orderstatus == 'O'", "rest": "true"}},
+    }}
+    rules = {"rules": [{"op": "parse_number", "path": "v.mark", "on_error": "error"}, {"op": "keep_fields", "fields": ["o_orderkey", "o_orderstatus", "mark"]}]}
+    for name, spec in (("base", parent), ("child", {"variant": "child", "extends": "base", "overrides": {"dear": {"expression": "v.o_totalprice > ${LEAST}"}}}), ("rules", rules)):
+        with open(os.path.join(folder, f"{name}.json"), "w", encoding="utf-8") as file:
+            json.dump(spec, file)
+    mark = F.when(F.col("o_orderkey") % 10 == 0, "bad").otherwise("1")
+    source = _t(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", mark.alias("mark"), F.col("o_orderkey").alias("_ord"), F.col("o_orderkey").cast("string").alias("_id"), F.col("o_custkey").cast("string").alias("_src"))
+    runner = Runner(spark, scratch.path(spark, "session"), environ={"LEAST": "1000"}, prefixes={"conf": folder})
+    runner.execute(load_variant(folder, "child"), source)
+    return runner
+
+
+_DEAR = "FROM orders WHERE o_totalprice > 1000"
+
+
+@query(f"""SELECT 'dear' AS sid, count(*) AS rows_out, 0::BIGINT AS errors, 'ok' AS state {_DEAR} UNION ALL SELECT 'clean', count(*) FILTER (WHERE o_orderkey % 10 <> 0), count(*) FILTER (WHERE o_orderkey % 10 = 0), 'failed' {_DEAR}
+    UNION ALL SELECT 'by', 0, 0, 'ok' UNION ALL SELECT 'by.open', count(*), 0, 'ok' {_DEAR} AND o_orderkey % 10 <> 0 AND o_orderstatus = 'O' UNION ALL SELECT 'by.rest', count(*), 0, 'ok' {_DEAR} AND o_orderkey % 10 <> 0 AND o_orderstatus <> 'O'""")
+def run_journal(spark, sf):
+    """The journal that a run leaves."""
+    return _session(spark, sf).session_table("journal")
+
+
+@query(f"SELECT 'clean' AS sid, 'error' AS level, count(*) || ' rows rejected' AS msg {_DEAR} AND o_orderkey % 10 = 0")
+def run_log(spark, sf):
+    """What a run's log says of errors."""
+    return S.log(_session(spark, sf).session_table("log"), search="rejected").select("sid", "level", "msg")
+
+
+@query(f"SELECT 'o' || o_orderkey AS id, step, CASE step WHEN 0 THEN 'o' || o_orderkey ELSE o_custkey::VARCHAR END AS at FROM (SELECT o_orderkey, o_custkey {_DEAR} AND o_orderkey % 10 <> 0 AND o_orderstatus = 'O'), (VALUES (0), (1)) s(step)")
+def run_provenance(spark, sf):
+    """From a run's own trace: the records that the rows of a channel come from."""
+    trace = _session(spark, sf).session_table("trace").where("sid = 'by.open'").select(F.concat(F.lit("o"), "id").alias("id"), "src")
+    return S.provenance(trace, trace.select("id"))
+
+
+@query(f"SELECT sid, tool, rows_in, rows_out FROM (SELECT 'clean' AS sid, 'normalize' AS tool, count(*) AS rows_in, count(*) FILTER (WHERE o_orderkey % 10 <> 0) AS rows_out {_DEAR})")
+def run_stages(spark, sf):
+    """Counts of a stage as it ran."""
+    return _session(spark, sf).session_table("stages").where("sid = 'clean'").select("sid", "tool", "rows_in", "rows_out")
