@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,10 @@ from siltflow.llm.textarrays import _splitmix, release, shingle_hashes, text_sli
 BROADCAST_ROWS = 1_000_000
 #: Parts of the sets of one size in a component while they are numbered.
 SALTS = 16
+#: Buckets of shingles for each shuffle partition; a bucket's entries are in memory at once.
+BUCKETS = 4
+#: Shingles of a row at most: rows of one size make batches of bounded size, however long texts are.
+PIECE = 2048
 
 
 @dataclass(frozen=True)
@@ -76,24 +81,32 @@ def _print(grams: np.ndarray) -> tuple[int, int]:
 
 
 def set_rows(docs: DataFrame, width: int, grams: bool) -> DataFrame:
-    """doc_id, n (shingles), one, two (which stand for the set), and with `grams` the shingles' bytes."""
+    """doc_id, n (shingles), one, two (which stand for the set), and with `grams` the shingles' bytes, in rows of PIECE shingles at most with their number as piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in text_slices(batch.column(1), 2 << 20):
-                sizes, ones, twos, raw = [], [], [], []
-                for own in _sets(batch.column(1).slice(a, b - a), width):
+                at, sizes, ones, twos, pieces, raw = [], [], [], [], [], []
+                for k, own in enumerate(_sets(batch.column(1).slice(a, b - a), width)):
                     one, two = _print(own)
-                    sizes.append(len(own))
-                    ones.append(one)
-                    twos.append(two)
-                    if grams:
-                        raw.append(own.tobytes())
-                columns = [batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(raw, pa.binary())] * grams, ["doc_id", "n", "one", "two"] + ["grams"] * grams)
+                    for piece in range(max(1, -(-len(own) // PIECE)) if grams else 1):
+                        at.append(a + k)
+                        sizes.append(len(own))
+                        ones.append(one)
+                        twos.append(two)
+                        pieces.append(piece)
+                        raw.append(own[piece * PIECE : (piece + 1) * PIECE].tobytes() if grams else b"")
+                columns = [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64()) for x in (sizes, ones, twos))]
+                names = ["doc_id", "n", "one", "two"]
+                if grams:
+                    columns, names = [*columns, pa.array(pieces, pa.int32()), pa.array(raw, pa.binary())], [*names, "piece", "grams"]
+                whole = pa.RecordBatch.from_arrays(columns, names)
+                # a very long text has many pieces: a batch has a bounded number of them
+                for first in range(0, whole.num_rows, storage.BATCH_ROWS):
+                    yield whole.slice(first, storage.BATCH_ROWS)
             release()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, one long, two long" + ", grams binary" * grams)
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, one long, two long" + ", piece int, grams binary" * grams)
 
 
 def _owner(one: np.ndarray, bits: int) -> np.ndarray:
@@ -103,7 +116,8 @@ def _owner(one: np.ndarray, bits: int) -> np.ndarray:
 
 def shared_counts(docs: DataFrame, width: int, sizes: Sizes) -> DataFrame:
     """owner, n_shared: how many shingles of a set others have, or more than that when hashes meet; too few where two sets have one owner."""
-    buckets = storage.partitions(docs.sparkSession)
+    parts = storage.partitions(docs.sparkSession)
+    buckets = BUCKETS * parts
     bits = sizes.owner_bits
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,28 +164,40 @@ def shared_counts(docs: DataFrame, width: int, sizes: Sizes) -> DataFrame:
             yield from flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[np.ndarray]] = {}
+        """Rows sorted by bucket, one bucket in memory at a time."""
+        owners, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        bucket, held = None, []
+
+        def ended() -> None:
+            nonlocal owners, counts
+            if bucket < 0:  # sums that tasks have made of what they found in two documents
+                own, n = (np.concatenate([x[k * len(x) // 2 : (k + 1) * len(x) // 2] for x in held]) for k in (0, 1))
+            else:
+                entry = np.concatenate(held)
+                entry.sort()
+                entry = entry[np.concatenate(([True], entry[1:] != entry[:-1]))]
+                gram = (entry >> np.uint64(32)).astype(np.uint32)
+                same = gram[1:] == gram[:-1]
+                often = np.concatenate((same, [False])) | np.concatenate(([False], same))
+                own = entry[often] & _SHARED
+                own = own[own != _SHARED]
+                n = np.ones(len(own), np.int64)
+            owners, counts = summed([owners, own], [counts, n.astype(np.int64)])
+
         for batch in batches:
-            for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                parts.setdefault(max(bucket, -1), []).append(np.frombuffer(raw.as_buffer(), np.uint64).copy())
-        owners, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for bucket, held in parts.items():
-            if bucket < 0:
-                for x in held:
-                    owners.append(x[: len(x) // 2])
-                    counts.append(x[len(x) // 2 :].astype(np.int64))
-                continue
-            entry = np.unique(np.concatenate(held))
-            gram, owner = entry >> np.uint64(32), entry & _SHARED
-            same = gram[1:] == gram[:-1]
-            often = np.concatenate((same, [False])) | np.concatenate(([False], same))
-            values, n = np.unique(owner[often & (owner != _SHARED)], return_counts=True)
-            owners.append(values)
-            counts.append(n)
-        values, total = summed(owners, counts)
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                k = max(k, -1)
+                if k != bucket:
+                    if held:
+                        ended()
+                    bucket, held = k, []
+                held.append(np.frombuffer(raw.as_buffer(), np.uint64).copy())
+        if held:
+            ended()
+        held = []
         # counts go on packed, a row for each part of the owners
-        part = (values % np.uint64(buckets)).astype(np.int64)
-        rows = [(k, np.stack((values[part == k], total[part == k].astype(np.uint64))).tobytes()) for k in np.unique(part).tolist()]
+        part = (owners % np.uint64(buckets)).astype(np.int64)
+        rows = [(k, np.stack((owners[part == k], counts[part == k].astype(np.uint64))).tobytes()) for k in np.unique(part).tolist()]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary())], ["part", "counts"])
         release()
 
@@ -186,9 +212,9 @@ def shared_counts(docs: DataFrame, width: int, sizes: Sizes) -> DataFrame:
             del held
             yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(total)], ["owner", "n_shared"])
 
-    dealt = docs.select("text").mapInArrow(deal, "bucket int, entries binary").repartition(buckets, "bucket")
-    parts = dealt.mapInArrow(count, "part int, counts binary").repartition(buckets, "part")
-    return parts.mapInArrow(add, "owner long, n_shared long")
+    dealt = docs.select("text").mapInArrow(deal, "bucket int, entries binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    added = dealt.mapInArrow(count, "part int, counts binary").repartition(parts, "part")
+    return added.mapInArrow(add, "owner long, n_shared long")
 
 
 def _product(left: list[np.ndarray], right: list[np.ndarray], n_left: np.ndarray, n_right: np.ndarray, percent: int, columns: int) -> np.ndarray:
@@ -224,8 +250,12 @@ def _product(left: list[np.ndarray], right: list[np.ndarray], n_left: np.ndarray
 
 
 def _multiply(percent: int, columns: int):
-    def links(blocks: list[tuple[int, int, int, int, np.ndarray]]) -> tuple[list[int], list[int], list[int]]:
-        """blocks: (side, doc, n, weight, grams); docs, roots and numbers of links."""
+    def links(pieces: list[tuple[int, int, int, int, np.ndarray]]) -> tuple[list[int], list[int], list[int]]:
+        """pieces: (side, doc, n, weight, grams), a set's after each other; docs, roots and numbers of links."""
+        blocks = []
+        for (side, doc), own in groupby(pieces, lambda x: x[:2]):
+            own = list(own)
+            blocks.append((side, doc, *own[0][2:4], np.concatenate([x[4] for x in own]) if len(own) > 1 else own[0][4]))
         sides = [[x for x in blocks if x[0] == side] for side in (0, 1)]
         alone = not sides[1]
         left, right = sides[0], sides[0] if alone else sides[1]
@@ -265,7 +295,7 @@ def _multiply(percent: int, columns: int):
             return pa.RecordBatch.from_arrays([pa.array([x[k] for k in some], pa.int64()) for x in (docs, roots, degrees)], ["doc", "root", "n_links"])
 
         for batch in batches:
-            for comp, i, j, side, doc, n, weight, raw in zip(*(c if c.type == pa.binary() else c.to_pylist() for c in batch.columns), strict=True):
+            for comp, i, j, side, doc, n, weight, _, raw in zip(*(c if c.type == pa.binary() else c.to_pylist() for c in batch.columns), strict=True):
                 if (comp, i, j) != key:
                     if held:
                         yield done()
@@ -303,7 +333,7 @@ def _judged(docs: DataFrame, key: str, text: str, width: int, percent: int, size
     counted = meeting.where("rep IS NOT NULL").join(shared_counts(rows, width, sizes), "owner", "left")
     able = storage.materialize(counted.where((F.col("sets") > 1) | (100 * F.col("n_shared") >= percent * F.col("n"))).select(F.col("rep").alias("doc_id"), "one", "two", F.col("node").alias("doc"), "weight"), "able-sets")
     near = rows.join(_small(able.select("doc_id").distinct(), able.count()), "doc_id", "left_semi")
-    sets = set_rows(near, width, True).join(able, ["doc_id", "one", "two"]).select("doc", "n", "weight", "grams").dropDuplicates(["doc"])
+    sets = set_rows(near, width, True).join(able, ["doc_id", "one", "two"]).select("doc", "n", "weight", "piece", "grams").dropDuplicates(["doc", "piece"])
     sets = storage.materialize(sets, "near-sets")
     # step 2
     longs = _as_longs(sets)
@@ -318,7 +348,7 @@ def _judged(docs: DataFrame, key: str, text: str, width: int, percent: int, size
     together = components(stars)
     # step 3
     members = together.union(together.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("doc"), F.col("root").alias("comp"))
-    sized = members.join(sets.select("doc", "n"), "doc")
+    sized = members.join(sets.where("piece = 0").select("doc", "n"), "doc")
     # places by size within a component, counted in parts of one size and a hash so that no task sorts a whole component
     units = F.greatest(F.lit(1), F.ceil(F.col("n") * sizes.block / sizes.grams)).cast("long")
     sized = storage.materialize(sized.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS))).withColumn("units", units), "sized")
@@ -334,9 +364,9 @@ def _judged(docs: DataFrame, key: str, text: str, width: int, percent: int, size
     one, two = met.select("gram", "comp", F.col("block").alias("i"), "hi"), met.select("gram", F.col("block").alias("j"), "lo")
     pairs = storage.materialize(one.join(two, "gram").where(f"i <= j AND 100 * hi >= {percent} * lo").select("comp", "i", "j").distinct(), "block-pairs")
     held = placed.select("doc", "comp", "block").join(sets, "doc")
-    left = held.join(pairs.withColumnRenamed("i", "block"), ["comp", "block"]).select("comp", F.col("block").alias("i"), "j", F.lit(0).alias("side"), "doc", "n", "weight", "grams")
-    right = held.join(pairs.where("i < j").withColumnRenamed("j", "block"), ["comp", "block"]).select("comp", "i", F.col("block").alias("j"), F.lit(1).alias("side"), "doc", "n", "weight", "grams")
-    dealt = left.union(right).repartition(storage.partitions(spark), "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "side", "doc")
+    left = held.join(pairs.withColumnRenamed("i", "block"), ["comp", "block"]).select("comp", F.col("block").alias("i"), "j", F.lit(0).alias("side"), "doc", "n", "weight", "piece", "grams")
+    right = held.join(pairs.where("i < j").withColumnRenamed("j", "block"), ["comp", "block"]).select("comp", "i", F.col("block").alias("j"), F.lit(1).alias("side"), "doc", "n", "weight", "piece", "grams")
+    dealt = left.union(right).repartition(storage.partitions(spark), "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "side", "doc", "piece")
     found = storage.materialize(dealt.mapInArrow(_multiply(percent, sizes.columns), "doc long, root long, n_links long"), "links")
     roots = components(found.where("doc <> root").select(F.col("doc").alias("a"), F.col("root").alias("b")))
     degree = found.groupBy(F.col("doc").alias("node")).agg(F.sum("n_links").alias("n_links"))

@@ -30,16 +30,15 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/siltflow/{spark.sparkContext.applicationId}"
 
 
-#: Rows of an Arrow batch that passes between the JVM and Python, unless the session asks for fewer.
-BATCH_ROWS = 1000
+#: Rows of a batch that passes between the JVM and Python, or comes from Parquet, unless the session asks for fewer.
+BATCH_ROWS = 500
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to BATCH_ROWS rows: texts of some KB make batches of some MB, on both sides."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if not 0 < now <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    """Hold batches to BATCH_ROWS rows: texts of some KB make batches of some MB, on both sides."""
+    for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+            spark.conf.set(name, BATCH_ROWS)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are taken apart at once; a longer text is taken by itself.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 try:
     _trim = ctypes.CDLL(None).malloc_trim
