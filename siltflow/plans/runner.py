@@ -16,7 +16,7 @@ from siltflow.functions.expression import quoted
 from siltflow.functions.normalize import normalize
 from siltflow.operators import builtins as B
 from siltflow.operators import sessions as S
-from siltflow.plans.variant import Variant, VariantError, deep_merge, filled, inputs_of, order, validate, with_prefixes
+from siltflow.plans.variant import Variant, VariantError, deep_merge, filled, inputs_of, order, prefixes_in_text, validate, with_prefixes
 from siltflow.sources import readers, writers
 
 Tool = Callable[[DataFrame, dict[str, Any]], "DataFrame | B.Outputs"]
@@ -62,6 +62,10 @@ class Runner:
             stage["settings"] = self._settings(stage)
             if stage["tool"] == "dedup" and stage.get("dedup"):
                 stage["dedup"] = with_prefixes(stage["dedup"], self.prefixes)
+            if isinstance(stage.get("expression"), str):
+                stage["expression"] = prefixes_in_text(stage["expression"], self.prefixes)
+            if stage.get("routes"):
+                stage["routes"] = {k: prefixes_in_text(x, self.prefixes) for k, x in stage["routes"].items()}
             parts = [source if x == "$input" else run.data[x] for x in inputs_of(stage)]
             df = parts[0] if len(parts) == 1 else B.fan_in(parts)
             if (stage.get("replicas") or 1) > 1:

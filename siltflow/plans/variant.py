@@ -122,7 +122,7 @@ def filled(value: Any, environ: Mapping[str, str]) -> Any:
 
 
 def with_prefixes(value: Any, prefixes: Mapping[str, str]) -> Any:
-    """$name at the beginning of a setting becomes its path; unknown names stay.  Expressions keep the token form."""
+    """$name at the beginning of a setting becomes its path; unknown names stay."""
     if isinstance(value, str):
         m = re.match(r"\$([A-Za-z_]\w*)(?=/|$)", value)
         return prefixes[m[1]].rstrip("/") + value[m.end() :] if m and m[1] in prefixes else value
@@ -133,6 +133,11 @@ def with_prefixes(value: Any, prefixes: Mapping[str, str]) -> Any:
     return value
 
 
+def prefixes_in_text(text: str, prefixes: Mapping[str, str]) -> str:
+    """$name anywhere in an expression becomes its path; unknown names stay."""
+    return re.sub(r"\$([a-z0-9-]+)", lambda m: prefixes[m[1]].rstrip("/") if m[1] in prefixes else m[0], text)
+
+
 def to_token(path: str, prefixes: Mapping[str, str]) -> str:
     """The token form of an absolute path, by the longest prefix."""
     for name, base in sorted(prefixes.items(), key=lambda x: -len(x[1])):

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from siltflow.plans.runner import Runner
-from siltflow.plans.variant import Variant, VariantError, deep_merge, interpolate, load_variant, order, to_token, validate, with_prefixes
+from siltflow.plans.variant import Variant, VariantError, deep_merge, interpolate, load_variant, order, prefixes_in_text, to_token, validate, with_prefixes
 
 
 def write(folder, name, spec):
@@ -34,6 +34,8 @@ def test_interpolation():
         with pytest.raises(VariantError):
             interpolate(bad, env)
     assert with_prefixes({"p": "$input/a", "q": "$other/b"}, {"input": "/data"}) == {"p": "/data/a", "q": "$other/b"}
+    where = {"input": "/data/", "my-dir": "/m"}
+    assert prefixes_in_text("startsWith(v.p, '$input/a') || v.q == '$my-dir' || v.r == '$where'", where) == "startsWith(v.p, '/data/a') || v.q == '/m' || v.r == '$where'"
     assert to_token("/data/in/x", {"d": "/data", "i": "/data/in"}) == "$i/x"
 
 
