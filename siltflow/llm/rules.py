@@ -7,7 +7,7 @@ documents and of each of the KINDS of bad ones, and how often each rule, when it
 right on these; the posterior probability of being good decides.
 
 Defined results: a document with null, empty or blank text has no words and fails the base
-rules; repeated rows are judged one by one; an empty table gives an empty table; other
+rules; repeated rows are judged one by one; a posterior of one half keeps; an empty table gives an empty table; other
 columns, whatever their names, are left out.
 """
 
