@@ -126,7 +126,7 @@ def encode_column(texts: pa.Array, path: str) -> Iterator[tuple[np.ndarray, np.n
         release()
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Rows of CHUNK_BYTES of text together at most, or one row; the text is the first column."""
     held, size = [], 0
     for batch in batches:
@@ -153,7 +153,7 @@ def _dealer(buckets: int):
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        for table in _chunks(batches):
+        for table in chunks(batches):
             words, at, sizes = _distinct(table.column(0).combine_chunks())
             raw, _ = text_bytes(words)
             mark = zlib.crc32(raw)

@@ -150,11 +150,12 @@ def write(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: s
     bounds = _bounds(docs, parts)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row = 0
-            for ids, ends in bpe.encode_column(batch.column(1), tokenizer):
+        # chunks of several batches, so that a word is encoded once for more text
+        for table in bpe.chunks(batches):
+            row, keys = 0, table.column(1).combine_chunks()
+            for ids, ends in bpe.encode_column(table.column(0).combine_chunks(), tokenizer):
                 n = len(ends) - 1
-                own = batch.column(0).slice(row, n)
+                own = keys.slice(row, n)
                 row += n
                 full = np.insert(ids.astype("<u4"), ends[1:], end_id)
                 wide = bool(len(full) and full.max() > 0xFFFF)
@@ -163,7 +164,7 @@ def write(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: s
                 raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(full)])
                 yield pa.RecordBatch.from_arrays([pa.array(_places(own, bounds), pa.int32()), own, raw, pa.array([wide] * n)], ["part", "doc_id", "ids", "wide"])
 
-    rows = docs.mapInArrow(coded, "part int, doc_id long, ids binary, wide boolean")
+    rows = docs.select("text", "doc_id").mapInArrow(coded, "part int, doc_id long, ids binary, wide boolean")
     ordered = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
     ordered.mapInArrow(lambda batches: _segments(batches, segment_tokens), SEGMENTS).write.option("compression", "none").parquet(f"{path}/segments")
     sums = spark.read.schema(SEGMENTS).parquet(f"{path}/segments").groupBy("part").agg(F.sum("n_tokens").alias("n"))
