@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+import os
+import pickle
+import tempfile
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import ExitStack
+from typing import IO, Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -30,38 +36,89 @@ def dedup(df: DataFrame, key: Sequence[str], event_time: str | None = None, dela
     return keyed.dropDuplicates(["_key"]).drop("_key")
 
 
-def group_by(df: DataFrame, key: Sequence[str] | str, label: str, value: str, expected: Sequence[str] | None = None, count_threshold: int | None = None, idle_ms: int | None = None) -> DataFrame:
-    """group_by on a stream: _group_key, _partial, labels and values (two lists).  A stream has no end: with idle_ms, what a key holds is emitted as partial after so long without a row; after an availableNow run, partial_groups() gives what is left."""
+def _sorter(most: int, piece: int = 4096) -> Callable[[Iterator[pd.DataFrame]], Iterator[tuple]]:
+    """All rows (place, label, value) of a key in order, equal places as they came.
+
+    Spark cuts a key's rows into batches wherever an Arrow batch is full, in no order, so sorting
+    each batch is not enough.  `most` rows are sorted at a time; sorted runs wait in unnamed files
+    in the task's own folder and are merged.  All within one function, so that workers need no
+    import of this module.
+    """
+
+    def place(row: tuple) -> tuple[bool, Any]:
+        """Null comes first, as in Spark."""
+        return (True, row[0]) if row[0] is not None and row[0] == row[0] else (False, 0)
+
+    def pieces(run: IO[bytes]) -> Iterator[tuple]:
+        run.seek(0)
+        while True:
+            try:
+                yield from pickle.load(run)
+            except EOFError:
+                return
+
+    def in_order(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        folder = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
+        runs: list[IO[bytes]] = []
+        rows: list[tuple] = []
+        with ExitStack() as files:
+            for batch in batches:
+                rows.extend(zip(*(batch[c].tolist() for c in "olx"), strict=True))
+                if len(rows) >= most:
+                    rows.sort(key=place)
+                    runs.append(files.enter_context(tempfile.TemporaryFile(dir=folder)))
+                    for k in range(0, len(rows), piece):
+                        pickle.dump(rows[k : k + piece], runs[-1], pickle.HIGHEST_PROTOCOL)
+                    rows.clear()
+            rows.sort(key=place)
+            yield from heapq.merge(*map(pieces, runs), rows, key=place) if runs else rows
+
+    return in_order
+
+
+def group_by(df: DataFrame, key: Sequence[str] | str, label: str, value: str, expected: Sequence[str] | None = None, count_threshold: int | None = None, idle_ms: int | None = None, most: int = 250_000) -> DataFrame:
+    """group_by on a stream: _group_key, _partial, labels and values (two lists).  A stream has no end: with idle_ms, what a key holds is emitted as partial after so long without a row; after an availableNow run, partial_groups() gives what is left.
+
+    A key's rows are taken by _ord within a micro-batch, and micro-batches as they arrive; about `most` rows of a key are in memory at once.
+    """
     paths = [key] if isinstance(key, str) else list(key)
     val, kind = resolve(tuple(value.removeprefix("v.").split(".")), df.schema)
     order = F.col("_ord") if "_ord" in df.columns else F.lit(0)
     rows = df.select(key_text(df, paths).alias("_group_key"), segment(df.schema, label).alias("l"), val.alias("x"), order.cast("string").alias("o") if "_ord" not in df.columns else order.alias("o"))
     wanted = set(expected or [])
     of = kind.simpleString()
+    in_order = _sorter(most)
 
     def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         labels, values = (list(x) for x in state.get) if state.exists else ([], [])
         held = dict(zip(labels, values, strict=True))
-        out = []
+        out: list[tuple] = []
+
+        def made() -> pd.DataFrame:
+            return pd.DataFrame(out, columns=["_group_key", "_partial", "labels", "values"])
+
         if state.hasTimedOut:
             out.append((keys[0], True, list(held), list(held.values())))
             state.remove()
             held = {}
         else:
-            for batch in batches:
-                for l, x in batch.sort_values("o", kind="stable")[["l", "x"]].itertuples(index=False):  # noqa: E741
-                    held.pop(l, None)
-                    held[l] = x
-                    if (wanted <= set(held)) if wanted else (count_threshold and len(held) >= count_threshold):
-                        out.append((keys[0], False, list(held), list(held.values())))
-                        held = {}
+            for _, l, x in in_order(batches):  # noqa: E741
+                held.pop(l, None)
+                held[l] = x
+                if (wanted <= set(held)) if wanted else (count_threshold and len(held) >= count_threshold):
+                    out.append((keys[0], False, list(held), list(held.values())))
+                    held = {}
+                if len(out) >= 10_000:
+                    yield made()
+                    out.clear()
             if held:
                 state.update((list(held), list(held.values())))
                 if idle_ms:
                     state.setTimeoutDuration(idle_ms)
             elif state.exists:
                 state.remove()
-        yield pd.DataFrame(out, columns=["_group_key", "_partial", "labels", "values"])
+        if out:
+            yield made()
 
     return rows.groupBy("_group_key").applyInPandasWithState(step, f"_group_key string, _partial boolean, labels array<string>, values array<{of}>", f"labels array<string>, values array<{of}>", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 

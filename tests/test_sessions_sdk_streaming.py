@@ -1,6 +1,7 @@
 import json
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,27 @@ def test_streams(spark, tmp_path):
     got.clear()
     stateful.run_available(stateful.dedup(stream, ["g", "l"]), keep, str(tmp_path / "c2"))
     assert sorted((r.g, r.l) for r in got) == [("d", "A"), ("d", "B"), ("e", "A")]
+
+
+@pytest.mark.parametrize("most", [1_000, 8])
+def test_stream_group_by_orders_a_key_over_all_its_batches(spark, tmp_path, most):
+    rows = [(k, key, label, n * 37 % 100) for k, (key, label, n) in enumerate((key, label, n) for n in range(100) for key in "de" for label in "AB")]
+    spark.createDataFrame([(key, label if key == "d" else "A", at) for _, key, label, at in rows], "g string, l string, _ord long").coalesce(1).write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema("g string, l string, _ord long").json(str(tmp_path / "in"))
+    got, was = [], spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        groups = stateful.group_by(stream, "g", "l", "_ord", expected=["A", "B"], most=most)
+        stateful.run_available(groups, lambda df, _: got.extend(df.collect()), str(tmp_path / "c"))
+        left = stateful.partial_groups(spark, str(tmp_path / "c")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    # each place of d has an A and a B, so groups fill in order; e has A only, and its last row is at 99
+    assert [r["values"] for r in got] == [[k, k] for k in range(100)]
+    assert [(r._group_key, r.labels, r["values"]) for r in left] == [("e", ["A"], [99])]
+
+
+def test_rows_of_a_key_in_order():
+    batches = [pd.DataFrame({"o": o, "l": list("abc"), "x": x}) for o, x in (([5, 1, 3], [1, 2, 3]), ([2.0, None, 3.0], [4, 5, 6]), ([2**53 + 2, 2**53 + 1, 3], [7, 8, 9]))]
+    for most in (1, 4, 100):
+        assert [x for _, _, x in stateful._sorter(most, piece=2)(iter(batches))] == [5, 2, 4, 3, 6, 9, 1, 8, 7]
